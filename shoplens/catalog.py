@@ -1254,11 +1254,11 @@ def _(t: Retail):
 
 @query(
     "lowest_margins",
-    f"""SELECT category, profit_margin_pct FROM ({_margin_sql("category")}) ORDER BY profit_margin_pct LIMIT 2""",
+    f"""SELECT category, profit_margin_pct FROM ({_margin_sql("category")}) ORDER BY profit_margin_pct, category LIMIT 2""",
     views="item prod",
 )
 def _(t: Retail):
     return cubes.lowest(
-        kpi.margin_by(t.order_items, t.products, revenue="line_value"), "profit_margin_pct", 2
+        kpi.margin_by(t.order_items, t.products, revenue="line_value"), "profit_margin_pct", 2, "category"
     ).select("category", "profit_margin_pct")
 

@@ -15,7 +15,6 @@ from ..functions.expr import as_col, count_rows, line_revenue, money, ratio
 from ..functions.rules import CANCELLED, recognized
 from ..plans.joins import lookup_join
 from .attribution import by_model
-from .kpi import share_of_total
 from .trends import growth, monthly_revenue
 
 CRORE = 10_000_000
@@ -191,24 +190,24 @@ def category_metrics(category_cube: DataFrame, year: int | None = None, sales_ch
         .groupBy("category")
         .agg(*[F.sum(m).alias(m) for m in ("revenue_cr", "cost_cr", "units", "returns")])
     )
-    shares = share_of_total(sums, "category", "revenue_cr").drop("revenue_cr")
-    return sums.join(shares, "category").select(
+    total = sums.agg(F.sum("revenue_cr")).scalar()
+    return sums.select(
         "category",
         "revenue_cr",
-        "share_pct",
+        ratio("revenue_cr", total, 2, 100).alias("share_pct"),
         ratio(F.col("revenue_cr") - F.col("cost_cr"), "revenue_cr", 2, 100).alias("margin_pct"),
         ratio("returns", "units", 2, 100).alias("return_rate_pct"),
     )
 
 
-def lowest(df: DataFrame, measure: str, k: int) -> DataFrame:
-    """The k rows with the smallest measure, such as the two lowest margins."""
-    return df.orderBy(F.asc_nulls_last(measure)).limit(k)
+def lowest(df: DataFrame, measure: str, k: int, tie: str) -> DataFrame:
+    """The k rows with the smallest measure, such as the two lowest margins; ``tie`` orders equals."""
+    return df.orderBy(F.asc_nulls_last(measure), tie).limit(k)
 
 
-def highest(df: DataFrame, measure: str, k: int) -> DataFrame:
-    """The k rows with the largest measure, such as the biggest riser."""
-    return df.orderBy(F.desc_nulls_last(measure)).limit(k)
+def highest(df: DataFrame, measure: str, k: int, tie: str) -> DataFrame:
+    """The k rows with the largest measure, such as the biggest riser; ``tie`` orders equals."""
+    return df.orderBy(F.desc_nulls_last(measure), tie).limit(k)
 
 
 def monthly_growth(month_cube: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from ..functions.expr import count_rows
 
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
+_SLICES_PER_PARTITION = 4
+
 
 def broadcast_limit(df: DataFrame) -> int:
     """The session's broadcast threshold in bytes; negative when broadcasting is off."""
@@ -39,11 +41,11 @@ def lookup_join(
 
     A lookup whose size estimate fits the broadcast threshold is broadcast. A
     larger one is shuffled, with hot keys split: a key holding more than two
-    average shuffle partitions of the facts is cut into as many slices as it
-    fills partitions, by a hash of ``spread_by`` (default: all other fact
-    columns), and its lookup row is repeated once per slice. No more than
-    ``shuffle.partitions / 2`` keys can be that hot, which bounds both the
-    broadcast list of hot keys and the repeated lookup rows.
+    average shuffle partitions of the facts is cut into slices of a quarter
+    partition, by a hash of ``spread_by`` (default: all other fact columns), and
+    its lookup row is repeated once per slice. With p shuffle partitions, fewer
+    than p / 2 keys can be that hot and 5 p lookup rows are added at most, which
+    bounds the broadcast list of hot keys and the repetition.
     """
     on = list(on)
     if fits_broadcast(lookup):
@@ -60,7 +62,7 @@ def _split_join(facts, lookup, on, how, spread_by):
         .groupBy(*on)
         .agg(count_rows().alias("_n"))
         .where(F.col("_n") * parts > 2 * total)
-        .select(*on, F.ceil(F.col("_n") * parts / total).cast("int").alias("_slices"))
+        .select(*on, F.ceil(F.col("_n") * parts * _SLICES_PER_PARTITION / total).cast("int").alias("_slices"))
     )
     any_null = F.lit(False)
     for c in on:

@@ -55,7 +55,7 @@ def exact_ntile(df: DataFrame, row_id: str, scores: dict[str, Column], buckets:
 
     edge_key = F.struct("v", "slot", "id")
     names = [(n, j) for n in values for j in range(1, buckets)]
-    edge_row = edges.agg(
+    edge_row = edges.select("score", "v", "slot", "id", F.inline("targets")).agg(
         F.struct(
             *[F.max(F.when((F.col("score") == n) & (F.col("j") == j), edge_key)).alias(f"{n}_{j}") for n, j in names]
         ).alias("edges")
@@ -69,18 +69,15 @@ def exact_ntile(df: DataFrame, row_id: str, scores: dict[str, Column], buckets:
 
 
 def _edge_bins(tall: DataFrame, buckets: int) -> DataFrame:
-    """The leading-digit bin holding the last row of each bucket, and the rank inside it."""
+    """The leading-digit bins holding the last row of a bucket."""
     bins = tall.groupBy("score", "lead").agg(count_rows().alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("score").orderBy("lead"))
     total = F.sum("n").over(Window.partitionBy("score"))
     size, extra = F.floor(F.col("total") / buckets), F.col("total") % buckets
-    return (
-        bins.select("score", "lead", "n", upto.alias("upto"), total.alias("total"))
-        .withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(buckets - 1))))
-        .withColumn("rank", F.col("j") * size + F.least(F.col("j"), extra))
-        .where("upto - n < rank AND rank <= upto")
-        .select("score", "j", "lead", F.expr("rank - (upto - n)").alias("rank"))
+    last_rows = F.transform(
+        F.sequence(F.lit(1), F.lit(buckets - 1)),
+        lambda j: F.struct(j.alias("j"), (j * size + F.least(j, extra)).alias("rank")),
     )
+    return _holding(bins.withColumn("total", total).withColumn("targets", last_rows).drop("total"), [], "lead")
 
 
 def _narrow(tall: DataFrame, edges: DataFrame, known: list[str], key: str) -> DataFrame:
@@ -89,15 +86,18 @@ def _narrow(tall: DataFrame, edges: DataFrame, known: list[str], key: str) -> Da
     ``edges`` has at most scores x (buckets - 1) rows, so it is safe to broadcast.
     """
     group = ["score", *known]
-    counts = (
-        tall.join(F.broadcast(edges.select(*group).distinct()), group, "left_semi")
-        .groupBy(*group, key)
-        .agg(count_rows().alias("n"))
-    )
-    upto = F.sum("n").over(Window.partitionBy("score", "j").orderBy(key))
+    counts = tall.join(F.broadcast(edges), group).groupBy(*group, "targets", key).agg(count_rows().alias("n"))
+    return _holding(counts, known, key)
+
+
+def _holding(hist: DataFrame, known: list[str], key: str) -> DataFrame:
+    """Keep the keys holding a wanted rank; ``targets`` lists (bucket, rank inside the key) for each."""
+    group = ["score", *known]
+    before = F.col("upto") - F.col("n")
+    inside = F.filter("targets", lambda t: (t["rank"] > before) & (t["rank"] <= F.col("upto")))
+    moved = F.transform(inside, lambda t: F.struct(t["j"].alias("j"), (t["rank"] - before).alias("rank")))
     return (
-        counts.join(F.broadcast(edges), group)
-        .withColumn("upto", upto)
-        .where("upto - n < rank AND rank <= upto")
-        .select("score", "j", *known, key, F.expr("rank - (upto - n)").alias("rank"))
+        hist.withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy(key)))
+        .select(*group, key, moved.alias("targets"))
+        .where(F.size("targets") > 0)
     )
