@@ -79,19 +79,22 @@ def roas(
     touch_filter: Column | None = None,
 ) -> DataFrame:
     """Attributed revenue over spend per channel; channels missing on either side are absent."""
+    days = touch_days(orders, touches, excluded, touch_filter)
+    return roas_of(days, spend_by_channel(spend, campaigns), model)
+
+
+def roas_of(days: DataFrame, channel_spend: DataFrame, model: str) -> DataFrame:
+    """:func:`roas` from :func:`touch_days` and spend per channel."""
     if model not in MODELS:
         raise ValueError(f"model must be one of {MODELS}")
     credited = F.col(f"{model}_touch_channel")
     revenue = (
-        touch_days(orders, touches, excluded, touch_filter)
-        .where(credited.isNotNull())
+        days.where(credited.isNotNull())
         .groupBy(credited.alias("channel"))
         .agg(money(F.sum("revenue")).alias("attributed_revenue"))
     )
-    return (
-        spend_by_channel(spend, campaigns)
-        .join(revenue, "channel")
-        .select("channel", "total_spend", "attributed_revenue", ratio("attributed_revenue", "total_spend", 2).alias("roas"))
+    return channel_spend.join(revenue, "channel").select(
+        "channel", "total_spend", "attributed_revenue", ratio("attributed_revenue", "total_spend", 2).alias("roas")
     )
 
 

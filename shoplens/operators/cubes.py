@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import as_col, count_rows, line_revenue, money, ratio
@@ -190,7 +190,7 @@ def category_metrics(category_cube: DataFrame, year: int | None = None, sales_ch
         .groupBy("category")
         .agg(*[F.sum(m).alias(m) for m in ("revenue_cr", "cost_cr", "units", "returns")])
     )
-    total = sums.agg(F.sum("revenue_cr")).scalar()
+    total = F.sum("revenue_cr").over(Window.partitionBy())  # one row per category
     return sums.select(
         "category",
         "revenue_cr",

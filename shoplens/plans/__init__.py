@@ -1,5 +1,6 @@
 from .asof import touch_by_order_day
 from .joins import lookup_join
 from .ntile import exact_ntile
+from .stored import recompute, stored
 
-__all__ = ["exact_ntile", "lookup_join", "touch_by_order_day"]
+__all__ = ["exact_ntile", "lookup_join", "recompute", "stored", "touch_by_order_day"]

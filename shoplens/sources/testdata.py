@@ -15,6 +15,20 @@ from pyspark.sql import functions as F
 # Fixed value: the order status in the role of "Cancelled".
 EXCLUDED = ("P",)
 
+# Columns of the tables in use. Declared, so that defining a table reads no file.
+_COLUMNS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,
+        l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,
+        l_shipdate timestamp_ntz""",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 
 def _dec(c: str) -> Column:
     return F.col(c).cast("decimal(12,2)")
@@ -35,7 +49,7 @@ class Retail:
         self.spark, self.directory = spark, directory
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{table}.parquet")
+        return self.spark.read.schema(_COLUMNS[table]).parquet(f"{self.directory}/{table}.parquet")
 
     @cached_property
     def orders(self) -> DataFrame:

