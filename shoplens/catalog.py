@@ -65,7 +65,7 @@ _VIEWS = {
                (SELECT min(CAST(o_orderdate AS DATE)) FROM orders WHERE o_custkey = c_custkey) AS signup_date
         FROM customer""",
     "ev": """
-        SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(ts AS DATE) AS day FROM events""",
+        SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(ts AS DATE) AS day FROM events""",
     "touch": """
         SELECT event_id AS touchpoint_id, user_id AS customer_id, k AS campaign_id, ts,
                'ch' || (k % 7) AS channel, event_type AS interaction_type
@@ -541,14 +541,14 @@ _VARIANCE = (
 
 @query(
     "budget_variance",
-    f"""SELECT {_B("campaign_id")} AS campaign_id, channel, {_D("budget")} AS budget, {_D("spent")} AS total_spend,
+    f"""SELECT campaign_id, channel, {_D("budget")} AS budget, {_D("spent")} AS total_spend,
                {_D("spent - budget")} AS overspend_amount, {_div("(spent - budget)", "budget", 2, 100)} AS overspend_pct
         FROM variance""",
     views="spend camp",
     ctes=[_VARIANCE],
 )
 def _(t: Retail):
-    return kpi.budget_variance(t.spend, t.campaigns).withColumn("campaign_id", F.col("campaign_id").cast("bigint"))
+    return kpi.budget_variance(t.spend, t.campaigns)
 
 
 @query(

@@ -24,29 +24,38 @@ def cohort_retention(
 
     A rate is NULL until the whole cohort is n months old at ``as_of`` (a date or
     a scalar column). All order statuses count. Cohorts without any order are
-    absent. Orders are reduced to one row per customer and month before the join.
+    absent. Orders are reduced to one row per customer and month before the join,
+    so that counting months at a gap counts customers.
     """
-    cohort = [F.year(signup).alias("cohort_year"), F.month(signup).alias("cohort_month")]
     keys = ["cohort_year", "cohort_month"]
     today = F.lit(as_of).cast("date")
-    sizes = customers.groupBy(*cohort).agg(count_rows().alias("cohort_size"), F.max(signup).alias("latest_signup"))
-    # A customer has one row per order month, so counting rows counts customers.
-    active_months = orders.select(customer, F.trunc(order_date, "month").alias("order_month")).distinct()
-    gap = month_gap(signup, "order_month")
-    retained = (
-        customers.select(customer, signup)
-        .join(active_months, customer)
-        .groupBy(*cohort)
-        .agg(*[F.count_if(gap == n).alias(f"retained_month_{n}") for n in months])
+    active_months = orders.select(customer, F.trunc(order_date, "month").alias("_month")).distinct()
+    gap = month_gap(signup, "_month")
+    # Grouping by customer keeps the partitioning of the join.
+    per_customer = (
+        customers.where(F.col(signup).isNotNull())
+        .select(customer, signup)
+        .join(active_months, customer, "left")
+        .groupBy(customer, signup)
+        .agg(F.count("_month").alias("_active"), *[F.count_if(gap == n).alias(f"_back_{n}") for n in months])
+    )
+    out = (
+        per_customer.groupBy(F.year(signup).alias(keys[0]), F.month(signup).alias(keys[1]))
+        .agg(
+            count_rows().alias("cohort_size"),
+            F.max(signup).alias("_latest"),
+            F.sum("_active").alias("_active"),
+            *[F.sum(f"_back_{n}").alias(f"_back_{n}") for n in months],
+        )
+        .where("_active > 0")
     )
-    out = sizes.join(retained, keys)
-    for n in months:
-        old_enough = F.add_months("latest_signup", n) <= today
-        out = out.withColumn(
-            f"retention_month_{n}_pct",
-            F.when(old_enough, ratio(f"retained_month_{n}", "cohort_size", 1, 100)),
+    rates = [
+        F.when(F.add_months("_latest", n) <= today, ratio(f"_back_{n}", "cohort_size", 1, 100)).alias(
+            f"retention_month_{n}_pct"
         )
-    return out.select(*keys, "cohort_size", *[f"retention_month_{n}_pct" for n in months])
+        for n in months
+    ]
+    return out.select(*keys, "cohort_size", *rates)
 
 
 def label_match(

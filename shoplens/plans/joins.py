@@ -39,8 +39,8 @@ def lookup_join(
 ) -> DataFrame:
     """Join facts to a table holding at most one row per key.
 
-    A lookup whose size estimate fits the broadcast threshold is broadcast. A
-    larger one is shuffled, with hot keys split: a key holding more than two
+    A lookup whose size estimate fits the broadcast threshold is broadcast. Facts
+    below it are joined plainly. Otherwise both are shuffled, with hot keys split: a key holding more than two
     average shuffle partitions of the facts is cut into slices of a quarter
     partition, by a hash of ``spread_by`` (default: all other fact columns), and
     its lookup row is repeated once per slice. With p shuffle partitions, fewer
@@ -50,6 +50,8 @@ def lookup_join(
     on = list(on)
     if fits_broadcast(lookup):
         return facts.join(F.broadcast(lookup), on, how)
+    if fits_broadcast(facts):  # too few facts for any key to be hot
+        return facts.join(lookup, on, how)
     return _split_join(facts, lookup, on, how, spread_by)
 
 

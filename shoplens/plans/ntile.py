@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.expr import count_rows
 
 _LOWEST = -(10**18)
+_SORT_KEY = ["coarse", "fine", "v", "slot", "id"]
 
 
-def _leading_digits(v: Column) -> Column:
-    """``v`` floored to three significant digits: monotone, at most 900 steps per power of ten."""
+def _leading_digits(v: Column, n: int) -> Column:
+    """``v`` floored to n significant digits; monotone, so equal prefixes are neighbours."""
     digits = F.length(F.abs(v).cast("string"))
-    width = F.pow(F.lit(10.0), F.greatest(digits - 3, F.lit(0))).cast("bigint")
+    width = F.pow(F.lit(10.0), F.greatest(digits - n, F.lit(0))).cast("bigint")
     return v - F.pmod(v, width)
 
 
@@ -33,11 +34,12 @@ def exact_ntile(df: DataFrame, row_id: str, scores: dict[str, Column], buckets:
     are deterministic. ``row_id`` must be unique.
 
     Only the ``buckets - 1`` rows on the bucket edges matter. They are found by
-    narrowing a histogram four times - leading digits, value, hash slot, row -
-    each pass keeping only rows that share the edge's prefix. What is ranked in
-    one task is a histogram or 1/65,536th of the tied rows. The edges are then
-    compared with every row in a map-only projection, without sorting or
-    shuffling the table.
+    narrowing a histogram - four leading digits, eight leading digits, value,
+    hash slot, row - each pass keeping only rows that share the edge's prefix.
+    One task ranks at most the 9,000 first prefixes per power of ten, then 10,000
+    longer ones, then the distinct values agreeing in eight digits, then 65,536
+    slots, then 1/65,536th of the tied rows. The edges are compared with every
+    row in a map-only projection, without sorting or shuffling the table.
     """
     rid = F.col(row_id)
     values = {name: F.coalesce(v.cast("bigint"), F.lit(_LOWEST)) for name, v in scores.items()}
@@ -46,12 +48,13 @@ def exact_ntile(df: DataFrame, row_id: str, scores: dict[str, Column], buckets:
             rid.alias("id"),
             F.inline(F.array(*[F.struct(F.lit(n).alias("score"), v.alias("v")) for n, v in values.items()])),
         )
-        .withColumn("lead", _leading_digits(F.col("v")))
+        .withColumn("coarse", _leading_digits(F.col("v"), 4))
+        .withColumn("fine", _leading_digits(F.col("v"), 8))
         .withColumn("slot", _tie_slot(F.col("id")))
     )
     edges = _edge_bins(tall, buckets)
-    for depth, key in enumerate(["v", "slot", "id"], start=1):
-        edges = _narrow(tall, edges, ["lead", "v", "slot"][:depth], key)
+    for depth in range(1, len(_SORT_KEY)):
+        edges = _narrow(tall, edges, _SORT_KEY[:depth], _SORT_KEY[depth])
 
     edge_key = F.struct("v", "slot", "id")
     names = [(n, j) for n in values for j in range(1, buckets)]
@@ -70,14 +73,14 @@ def exact_ntile(df: DataFrame, row_id: str, scores: dict[str, Column], buckets:
 
 def _edge_bins(tall: DataFrame, buckets: int) -> DataFrame:
     """The leading-digit bins holding the last row of a bucket."""
-    bins = tall.groupBy("score", "lead").agg(count_rows().alias("n"))
+    bins = tall.groupBy("score", "coarse").agg(count_rows().alias("n"))
     total = F.sum("n").over(Window.partitionBy("score"))
     size, extra = F.floor(F.col("total") / buckets), F.col("total") % buckets
     last_rows = F.transform(
         F.sequence(F.lit(1), F.lit(buckets - 1)),
         lambda j: F.struct(j.alias("j"), (j * size + F.least(j, extra)).alias("rank")),
     )
-    return _holding(bins.withColumn("total", total).withColumn("targets", last_rows).drop("total"), [], "lead")
+    return _holding(bins.withColumn("total", total).withColumn("targets", last_rows).drop("total"), [], "coarse")
 
 
 def _narrow(tall: DataFrame, edges: DataFrame, known: list[str], key: str) -> DataFrame:

@@ -39,7 +39,7 @@ def _channel(n: Column) -> Column:
 
 
 def _campaign() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+    return F.get_json_object("props", "$.k").cast("bigint")
 
 
 class Retail:
