@@ -65,11 +65,19 @@ def reconciled_net():
 def data_quality(t: Tables, window_start: date = WINDOW_START) -> dict[str, DataFrame]:
     """Level 1: profiling and data-quality checks."""
     touches_outside = quality.outside_parent_window(
-        t["marketing_touchpoints"], t["campaigns"], "campaign_id", "timestamp", "start_date", "end_date"
+        t["marketing_touchpoints"],
+        t["campaigns"],
+        "campaign_id",
+        "timestamp",
+        "start_date",
+        "end_date",
+        PRIMARY_KEYS["marketing_touchpoints"],
     )
-    before_signup = quality.before_parent(t["orders"], t["customers"], "customer_id", "order_date", "signup_date")
-    over_line = quality.refund_exceeds_line(t["returns"], t["order_items"])
-    over_order = quality.refund_exceeds_order(t["returns"], t["orders"])
+    before_signup = quality.before_parent(
+        t["orders"], t["customers"], "customer_id", "order_date", "signup_date", PRIMARY_KEYS["orders"]
+    )
+    over_line = quality.refund_exceeds_line(t["returns"], t["order_items"], row_id=PRIMARY_KEYS["returns"])
+    over_order = quality.refund_exceeds_order(t["returns"], t["orders"], row_id=PRIMARY_KEYS["returns"])
     relations = {}
     for child, keys, parent in [*FOREIGN_KEYS, ("returns", ["order_id"], "orders")]:
         name = f"{child}.{'+'.join(keys)}->{parent}"

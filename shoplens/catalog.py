@@ -204,7 +204,7 @@ def _(t: Retail):
 )
 def _(t: Retail):
     return quality.outside_parent_window(
-        t.touchpoints, t.campaigns, "campaign_id", "timestamp", "start_date", "end_date"
+        t.touchpoints, t.campaigns, "campaign_id", "timestamp", "start_date", "end_date", ["touchpoint_id"]
     ).select("touchpoint_id", "campaign_id", "timestamp")
 
 
@@ -358,9 +358,9 @@ def _(t: Retail):
     views="item ord",
 )
 def _(t: Retail):
-    return quality.before_parent(t.order_items, t.orders, "order_id", "ship_date", "order_date").select(
-        "order_id", "product_id", "ship_date", "order_date"
-    )
+    return quality.before_parent(
+        t.order_items, t.orders, "order_id", "ship_date", "order_date", ["product_id", "ship_date"]
+    ).select("order_id", "product_id", "ship_date", "order_date")
 
 
 @query(
@@ -484,7 +484,7 @@ def _(t: Retail):
             ),
             counted(
                 quality.outside_parent_window(
-                    t.touchpoints, t.campaigns, "campaign_id", "timestamp", "start_date", "end_date"
+                    t.touchpoints, t.campaigns, "campaign_id", "timestamp", "start_date", "end_date", ["touchpoint_id"]
                 ),
                 t.touchpoints,
                 "touch_outside_campaign",

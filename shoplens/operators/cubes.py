@@ -73,16 +73,14 @@ def cube_category(
 ) -> DataFrame:
     """Revenue, cost, units and returns by order year, sales channel and category.
 
-    Excluded orders count only in returns. Lines and returns are summed per
-    order line first and meet the orders in one join.
+    Excluded orders count only in returns. Lines and returns are stacked and
+    meet the orders in one join.
     """
     value = line_revenue() if revenue is None else as_col(revenue)
     line = ["order_id", "product_id"]
     lines = (
         items.select(*line, value.alias("revenue"), F.col("quantity").alias("units"))
         .unionByName(returns.select(*line, F.lit(1).alias("returns")), allowMissingColumns=True)
-        .groupBy(*line)
-        .agg(*[F.sum(m).alias(m) for m in ("revenue", "units", "returns")])
     )
     earns = ~F.col("order_status").isin(*excluded) if excluded else F.lit(True)
     heads = orders.select("order_id", F.year("order_date").alias("year"), "sales_channel", earns.alias("_earns"))
@@ -95,7 +93,7 @@ def cube_category(
         )
     )
     return (
-        lookup_join(per_product, products.select("product_id", "category", "cost"), ["product_id"])
+        per_product.join(products.select("product_id", "category", "cost"), "product_id")
         .groupBy("year", "sales_channel", "category")
         .agg(
             in_crore(F.sum("revenue")).alias("revenue_cr"),

@@ -113,7 +113,7 @@ def recognized_items(
     if not excluded:
         return items
     kept = recognized(orders, excluded).select("order_id")
-    return lookup_join(items, kept, ["order_id"])
+    return lookup_join(items, kept, ["order_id"], spread_by=["product_id"])
 
 
 def sales_per_product(

@@ -45,8 +45,18 @@ def profile_all(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFr
     return reduce(DataFrame.unionByName, [profile(df, n, cols) for n, (df, cols) in tables.items()])
 
 
+# In the row-level checks below, ``row_id`` names columns telling child rows apart.
+# Rows of a hot key are spread by them; without it all columns are read for that.
+
+
 def outside_parent_window(
-    child: DataFrame, parent: DataFrame, key: str, ts: str, start: str, end: str
+    child: DataFrame,
+    parent: DataFrame,
+    key: str,
+    ts: str,
+    start: str,
+    end: str,
+    row_id: Sequence[str] | None = None,
 ) -> DataFrame:
     """Child rows dated before their parent's start or after its end.
 
@@ -55,7 +65,7 @@ def outside_parent_window(
     window = parent.select(key, F.col(start).alias("_start"), F.col(end).alias("_end"))
     at = F.col(ts)
     return (
-        lookup_join(child, window, [key])
+        lookup_join(child, window, [key], spread_by=row_id)
         .where((at < F.col("_start").cast("timestamp_ntz")) | (at > F.col("_end").cast("timestamp_ntz")))
         .drop("_start", "_end")
     )
@@ -176,12 +186,17 @@ def violation_counts(df: DataFrame, rules: Mapping[str, Column], table: str) ->
 
 
 def before_parent(
-    child: DataFrame, parent: DataFrame, key: str, child_date: str, parent_date: str
+    child: DataFrame,
+    parent: DataFrame,
+    key: str,
+    child_date: str,
+    parent_date: str,
+    row_id: Sequence[str] | None = None,
 ) -> DataFrame:
     """Child rows dated before their parent, such as orders placed before signup."""
     dates = parent.select(key, F.col(parent_date).alias("_parent_date"))
     return (
-        lookup_join(child, dates, [key])
+        lookup_join(child, dates, [key], spread_by=row_id)
         .where(F.col(child_date) < F.col("_parent_date"))
         .withColumnRenamed("_parent_date", parent_date)
     )
@@ -193,19 +208,25 @@ def refund_exceeds_line(
     keys: Sequence[str] = ("order_id", "product_id"),
     refund: str = "refund_amount",
     line_value: Column | str | None = None,
+    row_id: Sequence[str] | None = None,
 ) -> DataFrame:
     """Returns refunded above the charged value of their order line."""
     value = line_revenue() if line_value is None else as_col(line_value)
     lines = items.select(*keys, value.alias("item_line_value"))
-    return lookup_join(returns, lines, keys).where(F.col(refund) > F.col("item_line_value"))
+    return lookup_join(returns, lines, keys, spread_by=row_id).where(F.col(refund) > F.col("item_line_value"))
 
 
 def refund_exceeds_order(
-    returns: DataFrame, orders: DataFrame, key: str = "order_id", refund: str = "refund_amount", net: str = "net_amount"
+    returns: DataFrame,
+    orders: DataFrame,
+    key: str = "order_id",
+    refund: str = "refund_amount",
+    net: str = "net_amount",
+    row_id: Sequence[str] | None = None,
 ) -> DataFrame:
     """Returns refunded above the net amount of their whole order."""
     nets = orders.select(key, F.col(net).alias("order_net_amount"))
-    return lookup_join(returns, nets, [key]).where(F.col(refund) > F.col("order_net_amount"))
+    return lookup_join(returns, nets, [key], spread_by=row_id).where(F.col(refund) > F.col("order_net_amount"))
 
 
 def reconcile(df: DataFrame, expected: Column, actual: str, scale: int = 2) -> DataFrame:
