@@ -51,6 +51,8 @@ def rfm(
             "m_score": F.col("total_value") * 100,
         },
         buckets,
+        # Totals up to ten digits leave at most a million distinct values per four-digit prefix.
+        prefixes=(4,),
     )
     total = F.col("rfm_total")
     segment = F.lit(REST)

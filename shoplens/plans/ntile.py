@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.expr import count_rows
 
 _LOWEST = -(10**18)
-_SORT_KEY = ["coarse", "fine", "v", "slot", "id"]
 
 
 def _leading_digits(v: Column, n: int) -> Column:
@@ -26,7 +26,9 @@ def _tie_slot(row_id: Column) -> Column:
     return F.substring(F.md5(row_id.cast("string")), 1, 4)
 
 
-def exact_ntile(df: DataFrame, row_id: str, scores: dict[str, Column], buckets: int) -> DataFrame:
+def exact_ntile(
+    df: DataFrame, row_id: str, scores: dict[str, Column], buckets: int, prefixes: Sequence[int] = (4, 8)
+) -> DataFrame:
     """Add one NTILE(``buckets``) column per entry of ``scores``.
 
     Each score is a whole-number column ranked ascending (NULL lowest); equal
@@ -34,13 +36,15 @@ def exact_ntile(df: DataFrame, row_id: str, scores: dict[str, Column], buckets:
     are deterministic. ``row_id`` must be unique.
 
     Only the ``buckets - 1`` rows on the bucket edges matter. They are found by
-    narrowing a histogram - four leading digits, eight leading digits, value,
-    hash slot, row - each pass keeping only rows that share the edge's prefix.
-    One task ranks at most the 9,000 first prefixes per power of ten, then 10,000
-    longer ones, then the distinct values agreeing in eight digits, then 65,536
+    narrowing a histogram - leading digits as given by ``prefixes``, value, hash
+    slot, row - each pass keeping only rows that share the edge's prefix. One task
+    ranks at most the 9,000 four-digit prefixes per power of ten, then 10,000
+    longer ones, then the distinct values agreeing in the last prefix, then 65,536
     slots, then 1/65,536th of the tied rows. The edges are compared with every
     row in a map-only projection, without sorting or shuffling the table.
     """
+    if buckets < 2:
+        raise ValueError("buckets must be at least 2")
     rid = F.col(row_id)
     values = {name: F.coalesce(v.cast("bigint"), F.lit(_LOWEST)) for name, v in scores.items()}
     tall = (
@@ -48,13 +52,16 @@ def exact_ntile(df: DataFrame, row_id: str, scores: dict[str, Column], buckets:
             rid.alias("id"),
             F.inline(F.array(*[F.struct(F.lit(n).alias("score"), v.alias("v")) for n, v in values.items()])),
         )
-        .withColumn("coarse", _leading_digits(F.col("v"), 4))
-        .withColumn("fine", _leading_digits(F.col("v"), 8))
-        .withColumn("slot", _tie_slot(F.col("id")))
+        .select(
+            "*",
+            *[_leading_digits(F.col("v"), n).alias(f"lead{n}") for n in prefixes],
+            _tie_slot(F.col("id")).alias("slot"),
+        )
     )
-    edges = _edge_bins(tall, buckets)
-    for depth in range(1, len(_SORT_KEY)):
-        edges = _narrow(tall, edges, _SORT_KEY[:depth], _SORT_KEY[depth])
+    sort_key = [*[f"lead{n}" for n in prefixes], "v", "slot", "id"]
+    edges = _edge_bins(tall, buckets, sort_key[0])
+    for depth in range(1, len(sort_key)):
+        edges = _narrow(tall, edges, sort_key[:depth], sort_key[depth])
 
     edge_key = F.struct("v", "slot", "id")
     names = [(n, j) for n in values for j in range(1, buckets)]
@@ -71,16 +78,16 @@ def exact_ntile(df: DataFrame, row_id: str, scores: dict[str, Column], buckets:
     return out.drop("_edges")
 
 
-def _edge_bins(tall: DataFrame, buckets: int) -> DataFrame:
+def _edge_bins(tall: DataFrame, buckets: int, lead: str) -> DataFrame:
     """The leading-digit bins holding the last row of a bucket."""
-    bins = tall.groupBy("score", "coarse").agg(count_rows().alias("n"))
+    bins = tall.groupBy("score", lead).agg(count_rows().alias("n"))
     total = F.sum("n").over(Window.partitionBy("score"))
     size, extra = F.floor(F.col("total") / buckets), F.col("total") % buckets
     last_rows = F.transform(
         F.sequence(F.lit(1), F.lit(buckets - 1)),
         lambda j: F.struct(j.alias("j"), (j * size + F.least(j, extra)).alias("rank")),
     )
-    return _holding(bins.withColumn("total", total).withColumn("targets", last_rows).drop("total"), [], "coarse")
+    return _holding(bins.withColumn("total", total).withColumn("targets", last_rows).drop("total"), [], lead)
 
 
 def _narrow(tall: DataFrame, edges: DataFrame, known: list[str], key: str) -> DataFrame:
