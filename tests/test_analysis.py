@@ -111,3 +111,24 @@ def test_results_agree_with_plain_sql(spark, folder):
     gap = "SELECT CAST(floor(avg(g)) AS INTEGER) FROM (SELECT order_date - lag(order_date) OVER (PARTITION BY customer_id ORDER BY order_date) AS g FROM orders)"
     assert got["repeat_gap"].first()["avg_repeat_purchase_gap_days"] == con.execute(gap).fetchone()[0]
     assert got["rfm"].count() == con.execute("SELECT count(DISTINCT customer_id) FROM orders WHERE order_status <> 'Cancelled'").fetchone()[0]
+
+
+def test_results_are_consistent_with_each_other(spark, folder):
+    got = analyse(load_csv(spark, str(folder)))
+    for r in got["funnel"].collect():
+        assert max(r["stage2_had_touchpoint"], r["stage3_placed_order"]) <= r["stage1_had_session"]
+    for r in got["cohort_retention"].collect():
+        assert all(r[f"retention_month_{n}_pct"] is None or 0 <= r[f"retention_month_{n}_pct"] <= 100 for n in (1, 2, 3))
+    slices = {(r["year_slice"], r["channel_slice"]): r["total_revenue"] for r in got["cube_slices"].collect()}
+    years = {y for y, _ in slices} - {"All"}
+    assert sum(slices[y, "All"] for y in years) == slices["All", "All"] == got["headline"].first()["total_revenue"]
+    last = {}
+    for r in got["running_total"].orderBy("year", "month").collect():
+        last[r["sales_channel"]] = r["running_total"]
+    assert last == {c: slices["All", c] for c in last}
+    gap = got["unattributed"].first()
+    for model in ("first", "last"):
+        credited = sum(r["attributed_revenue"] for r in got[f"roas_{model}"].collect())
+        assert credited + gap["unattributed_revenue"] == slices["All", "All"]
+    assert sum(r["n_customers"] for r in got["segment_summary"].collect()) == got["rfm_coverage"].first()["n_eligible"]
+    assert all(r["n_failed"] <= r["n_checked"] for r in got["quality_report"].collect())
