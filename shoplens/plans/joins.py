@@ -13,6 +13,7 @@ from ..functions.expr import count_rows
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
 _SLICES_PER_PARTITION = 4
+_EXPANSION = 4
 
 
 def broadcast_limit(df: DataFrame) -> int:
@@ -23,11 +24,16 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Catalyst estimates ``df`` below the session's broadcast threshold."""
+    """Whether Catalyst's size estimate of ``df`` is well below the session's broadcast threshold.
+
+    The estimate starts from compressed file sizes, so it is counted fourfold.
+    What is too large here may still be broadcast by adaptive execution, which
+    knows the exact size by then.
+    """
     if getattr(df, "_jdf", None) is None:  # no size estimate: treat as large
         return False
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size <= broadcast_limit(df)
+    return size * _EXPANSION <= broadcast_limit(df)
 
 
 def lookup_join(
