@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from shoplens.llm.language_id import op10_language
 from shoplens.llm.secrets import op3_secrets
 
-QUERIES = {f.__name__: f for f in (op3_secrets,)}
+QUERIES = {f.__name__: f for f in (op3_secrets, op10_language)}
 ORACLES: dict[str, str] = {}
