@@ -191,10 +191,8 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], value: str
     Rows are ordered by the hash of the ``order`` columns, which must tell rows apart. Each group is cut into ``buckets``
     ranges of the hash; sums run within a range, and range totals (``buckets`` rows a group at most) are added.
     """
-    spot = F.xxhash64(F.lit("queue"), *order)
-    width = (2**64) // buckets + 1
-    # Ranges of the signed hash, counted from the lowest.
-    slot = F.floor((spot.cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)"))
+    spot = F.shiftrightunsigned(F.xxhash64(F.lit("queue"), *order), 1)  # 0 to 2**63 - 1
+    slot = F.least(F.floor(spot / F.lit(float(2**63) / buckets)), F.lit(buckets - 1))
     rows = df.withColumn("_spot", spot).withColumn("_slot", slot.cast("long"))
     totals = rows.groupBy(*group, "_slot").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)

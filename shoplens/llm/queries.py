@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from shoplens.llm.language_id import op10_language
+from shoplens.llm.packing import op1_packing
 from shoplens.llm.secrets import op3_secrets
 
-QUERIES = {f.__name__: f for f in (op3_secrets, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_secrets, op10_language)}
 ORACLES: dict[str, str] = {}
