@@ -185,10 +185,12 @@ def document_words(column: pa.Array, fold: bool) -> Iterator[tuple[int, np.ndarr
 # --- running totals --------------------------------------------------------------------------------------------
 
 
-def running_totals(df: DataFrame, group: list[str], order: list[str], value: str, out: str, buckets: int) -> DataFrame:
+def running_totals(
+    df: DataFrame, group: list[str], order: list[str], tie: str, value: str, out: str, buckets: int
+) -> DataFrame:
     """Add ``out``, the sum of ``value`` over the rows before this one in its group, without one task per group.
 
-    Rows are ordered by the hash of the ``order`` columns, which must tell rows apart. Each group is cut into ``buckets``
+    Rows are ordered by the hash of the ``order`` columns, and equal ones by ``tie``. Each group is cut into ``buckets``
     ranges of the hash; sums run within a range, and range totals (``buckets`` rows a group at most) are added.
     """
     spot = F.shiftrightunsigned(F.xxhash64(F.lit("queue"), *order), 1)  # 0 to 2**63 - 1
@@ -197,7 +199,7 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], value: str
     totals = rows.groupBy(*group, "_slot").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
-    inside = Window.partitionBy(*group, "_slot").orderBy("_spot", *order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "_slot").orderBy("_spot", *order, tie).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
     on = [rows[c].eqNullSafe(totals[c]) for c in [*group, "_slot"]]
     joined = rows.join(totals, on, "inner")

@@ -152,7 +152,8 @@ def pack(
     """
     spark = docs.sparkSession
     docs = with_defaults(docs, doc_id="long", source="string", text="string")
-    tokens = stored(tokenize(docs, tokenizer).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    tokens = tokenize(docs, tokenizer).withColumns({"row": F.monotonically_increasing_id(), "mark": F.xxhash64("ids")})
+    tokens = stored(tokens, "tokens")
     sizes = {r["source"]: (r["n"], r["rows"]) for r in tokens.groupBy("source").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     total = sum(n for n, _ in sizes.values())
@@ -179,9 +180,9 @@ def pack(
                 )
 
     edges = spark.range(runs).mapInPandas(cuts, schema)
-    meta = tokens.select("row", "source", "n")
+    meta = tokens.select("row", "doc_id", "mark", "source", "n")
     buckets = max(1, -(-max((rows for _, rows in sizes.values()), default=1) // rows_per_bucket))
-    queue = running_totals(meta, ["source"], ["row"], "n", "at", buckets)
+    queue = running_totals(meta, ["source"], ["doc_id", "mark"], "row", "n", "at", buckets)
     # A document meets the runs whose cuts it overlaps: by the nearest guess, one run more on either side, then exactly.
     span = float(window * windows_per_task)
     share = F.create_map(*[x for s in names if s is not None for x in (F.lit(s), F.lit(sizes[s][0] / total))]) if any(s is not None for s in names) else None

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from shoplens.llm.language_id import op10_language
+from shoplens.llm.line_quality import OP4_SQL, op4_quality
+from shoplens.llm.mixing import op8_mixing
 from shoplens.llm.packing import op1_packing
 from shoplens.llm.secrets import op3_secrets
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_secrets, op10_language)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_secrets, op4_quality, op8_mixing, op10_language)}
+ORACLES: dict[str, str] = {"op4_quality": OP4_SQL}
