@@ -7,6 +7,7 @@ from shoplens.llm.line_quality import OP4_SQL, op4_quality
 from shoplens.llm.mixing import op8_mixing
 from shoplens.llm.packing import op1_packing
 from shoplens.llm.secrets import op3_secrets
+from shoplens.llm.warc import OP7_SQL, op7_warc
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_secrets, op4_quality, op8_mixing, op10_language)}
-ORACLES: dict[str, str] = {"op4_quality": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_secrets, op4_quality, op7_warc, op8_mixing, op10_language)}
+ORACLES: dict[str, str] = {"op4_quality": OP4_SQL, "op7_warc": OP7_SQL}
