@@ -132,7 +132,7 @@ def word_hashes(data: np.ndarray, breaks: np.ndarray, fold: bool) -> tuple[np.nd
             if not len(at) or at[0] != 0:
                 length = int(ends[-1][-1] - starts[-1][-1])
                 shift = np.uint64(pow(int(_PRIME), length, 2**64))
-                hashes[-1][-1] = hashes[-1][-1] + shift * h[0]
+                hashes[-1][-1:] += shift * h[:1]
                 ends[-1][-1] = e[0] + lo
                 s, e, h = s[1:], e[1:], h[1:]
         if len(s):
