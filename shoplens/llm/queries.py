@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shoplens.llm.embedding_dedup import OP5_SQL, op5_embeddings
 from shoplens.llm.jaccard_join import OP9_SQL, op9_jaccard
 from shoplens.llm.language_id import op10_language
 from shoplens.llm.line_quality import OP4_SQL, op4_quality
@@ -10,5 +11,5 @@ from shoplens.llm.packing import op1_packing
 from shoplens.llm.secrets import op3_secrets
 from shoplens.llm.warc import OP7_SQL, op7_warc
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_secrets, op4_quality, op7_warc, op8_mixing, op9_jaccard, op10_language)}
-ORACLES: dict[str, str] = {"op4_quality": OP4_SQL, "op7_warc": OP7_SQL, "op9_jaccard": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_secrets, op4_quality, op5_embeddings, op7_warc, op8_mixing, op9_jaccard, op10_language)}
+ORACLES: dict[str, str] = {"op4_quality": OP4_SQL, "op5_embeddings": OP5_SQL, "op7_warc": OP7_SQL, "op9_jaccard": OP9_SQL}
