@@ -69,8 +69,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_shar
 
 
 def mix(
-    docs: DataFrame, block: int = 128, slots_per_shard: int = 4096, rows_per_bucket: int = 20_000, seed: int = 7,
-    weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5,
+    docs: DataFrame, block: int = 128, slots_per_shard: int = 4096, rows_per_bucket: int = 2_000, seed: int = 7,
+    weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, row: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(rows, slots)``: the documents' places in their sources' blocks, and the mix itself.
 
@@ -85,12 +85,14 @@ def mix(
 
     Null and empty texts have size 0 and are never taken; a null source is a source of its own, last in order; repeated rows
     each keep their own place. Other columns are ignored. Only totals per source are gathered, in SQL. Everything
-    hangs on hashes of contents and of ``seed``; reruns agree. The word counts are written once.
+    hangs on hashes of contents and of ``seed``; reruns agree. The word counts are written once. ``row`` names a column that numbers
+    the rows, if there is one.
     """
-    docs = with_defaults(docs, doc_id="long", source="string", text="string")
-    counted = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("_mark"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    docs = with_defaults(docs, doc_id="long", source="string", text="string", **({row: "long"} if row else {}))
+    counted = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("_mark"), number.alias("row"))
     # Copies of a row share a number; among them any order gives the same result.
-    counted = stored(counted.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    counted = stored(counted, "sizes")
     shared = targets(counted.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share)
     shared = shared.withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long"))
     shared = shared.withColumn("n_slots", F.when(F.col("source_size") > 0, F.round(F.col("n_blocks") * F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
