@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import json
 import os
-import re
 from collections import deque
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -16,16 +18,29 @@ from pyspark.sql import functions as F
 from shoplens.llm.common import running_totals, ship, stored, with_defaults
 
 END = 0  # the id that closes a document
-# Where no two white space characters meet, none but blanks and line feeds occur: tokens then never cross these units.
-_UNITS = re.compile(r"\n| ?[^ \n]+| ")
-_ODD = re.compile(r"[^\S \n]|\s\s|^\s|\s$")
+_LINE_OR_BLANK = ("  ", " \n", "\n ", "\n\n")
+
+
+def _ranks(path: str) -> dict[bytes, int] | None:
+    """Bytes of each token by id, if the file is a byte-level BPE whose merges stand in the order of their ids; else None."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model.get("type") != "BPE" or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(model["vocab"].get(x + y) != 256 + i for i, (x, y) in enumerate(pairs)):
+        return None
+    return {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if i < 256 + len(pairs)}
 
 
 class Ids:
-    """Token ids of texts by one public tokenizer, as little-endian unsigned 32-bit binaries.
+    """Token ids of texts by one public tokenizer, as little-endian unsigned 32-bit binaries, or 16-bit where they fit (``size``).
 
-    Words repeat, so ids of the pieces between single blanks or line feeds are kept, up to ``keep`` of them; texts
-    with any other white space go to the tokenizer whole. Both ways give the same ids.
+    Words repeat: texts are cut before single blanks and line feeds, which no token of a byte-level BPE crosses, and the ids of up to
+    ``keep`` pieces are kept. Pieces not seen are merged by the same vocabulary and merge order in the faster of two libraries,
+    where the file allows it. Texts with any other white space go to the tokenizer whole. All ways give the same ids.
     """
 
     def __init__(self, path: str, keep: int = 400_000):
@@ -34,29 +49,50 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.size = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.kind = f"<u{self.size}"
         self.keep, self.known, self.older = keep, {}, {}
+        ranks = _ranks(path)
+        self.cuts, self.faster = ranks is not None, None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            faster = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            probe = " a b\nc's 12,;é  x\t"
+            if faster.encode_ordinary(probe) == self.tokenizer.encode(probe, add_special_tokens=False).ids:
+                self.faster = faster
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        if self.faster:
+            return [np.array(self.faster.encode_ordinary(t), self.kind).tobytes() for t in texts]
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
-
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if _ODD.search(text):
-                yield self._encode([text])[0]
-                continue
-            units = _UNITS.findall(text)
-            new = [u for u in dict.fromkeys(units) if u not in self.known]
-            if new:
-                if len(self.known) + len(new) > self.keep:
-                    self.older, self.known = self.known, {}
-                    new = list(dict.fromkeys(units))
-                back = [u for u in new if u in self.older]
-                self.known.update((u, self.older[u]) for u in back)
-                new = [u for u in new if u not in self.older]
-                if new:
-                    self.known.update(zip(new, self._encode(new)))
-            yield b"".join(map(self.known.__getitem__, units))
+        return [np.asarray(x.ids, self.kind).tobytes() for x in found]
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _plain(self, text: str) -> bool:
+        """Only single blanks and line feeds, none at an edge."""
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _LINE_OR_BLANK):
+            return False
+        return sum(map(len, text.split())) + text.count(" ") + text.count("\n") == len(text)
+
+    def of(self, text: str) -> bytes:
+        if not (self.cuts and self._plain(text)):
+            return self._whole(text)
+        # A piece that begins with a line feed has it; any other stands for a blank and itself.
+        pieces = ("\n" + text).replace("\n", " \n")[1:].split(" ")
+        new = set(pieces).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > self.keep:
+                self.older, self.known = self.known, {}
+                new = set(pieces)
+            back = [u for u in new if u in self.older]
+            self.known.update((u, self.older[u]) for u in back)
+            new = [u for u in new if u not in self.older]
+            self.known.update(zip(new, self._encode([u if u[:1] == "\n" else " " + u for u in new])))
+        return b"".join(map(self.known.__getitem__, pieces))[self.size :]
 
 
 _LOADED: dict[str, Ids] = {}
@@ -69,7 +105,7 @@ def ids_of(path: str) -> Ids:
 
 
 def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """``(doc_id, source, ids, n)``: ids of the whole text (null: empty) and the closing id; ``n`` counts both."""
+    """``(doc_id, source, ids, n, width)``: ids of the whole text (null: empty) and the closing id; ``n`` counts both, ``width`` is bytes an id."""
     ship(docs.sparkSession)
     # Every executor has the library and its files; the name is resolved there.
     name = os.path.basename(tokenizer) if os.path.dirname(tokenizer) == "" else tokenizer
@@ -83,17 +119,49 @@ def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
 
             path = str(public_tokenizers.path(name))
         ids = ids_of(path)
-        close = np.asarray([END], "<u4").tobytes()
+        close = np.asarray([END], ids.kind).tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                out = [x + close for x in ids.batch([t or "" for t in part.column(2).to_pylist()])]
+                out = [ids.of(t or "") + close for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(out, pa.large_binary()).cast(pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())],
-                    ["doc_id", "source", "ids", "n"],
+                    [
+                        part.column(0), part.column(1), pa.array(out, pa.binary()), pa.array([len(x) // ids.size for x in out], pa.int64()),
+                        pa.array([ids.size] * len(out), pa.int32()),
+                    ],
+                    ["doc_id", "source", "ids", "n", "width"],
                 )
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, ids binary, n long")
+    return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, ids binary, n long, width int")
+
+
+def prefix(amounts: list[int], done: int) -> list[int]:
+    """How many of the first ``done`` ids each source gives, if its k-th id has its turn at (k + 1/2) / amount, ties in source order.
+
+    As it is the beginning of one total order, no source's number ever falls as ``done`` grows.
+    """
+    total = sum(amounts)
+    if not total:
+        return [0] * len(amounts)
+    given = [min(n, (2 * n * done + total) // (2 * total)) for n in amounts]
+    miss = done - sum(given)
+    if miss > 0:
+        heap = [(Fraction(2 * g + 1, 2 * n), i) for i, (g, n) in enumerate(zip(given, amounts)) if g < n]
+        heapq.heapify(heap)
+        for _ in range(miss):
+            _, i = heapq.heappop(heap)
+            given[i] += 1
+            if given[i] < amounts[i]:
+                heapq.heappush(heap, (Fraction(2 * given[i] + 1, 2 * amounts[i]), i))
+    elif miss < 0:
+        heap = [(-Fraction(2 * g - 1, 2 * n), -i) for i, (g, n) in enumerate(zip(given, amounts)) if g]
+        heapq.heapify(heap)
+        for _ in range(-miss):
+            _, i = heapq.heappop(heap)
+            given[-i] -= 1
+            if given[-i]:
+                heapq.heappush(heap, (-Fraction(2 * given[-i] - 1, 2 * amounts[-i]), i))
+    return given
 
 
 def fill(lengths: list[deque], quanta: np.ndarray, first: int, window: int, packet: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -135,14 +203,14 @@ def pack(
     window: int = 1024,
     packet: int = 256,
     windows_per_task: int = 2048,
-    rows_per_bucket: int = 20_000,
+    rows_per_bucket: int = 2_000,
 ) -> DataFrame:
     """Pieces of sequences of ``window`` ids: ``doc_id, source, start, length, ids, doc_tokens, sequence_id, offset``.
 
     Every id of every document (its text's ids, then 0) lies in exactly one piece; all sequences but the last are full. The
     target proportions are the sources' shares of all ids, so that no queue runs dry before the others. Source s has
-    been given ``floor(w * window * share)`` ids (rounded so that they add up) after w windows; these quotas cut
-    the queues at the edges of runs of ``windows_per_task`` windows, which carries deficits of under one id a source across
+    been given its part of the first w * window ids of one fair order after w windows; these quotas cut
+    the queues at the edges of runs of ``windows_per_task`` windows, which carries deficits of about one id a source across
     tasks, and deficit round-robin inside a run carries them across windows, to within ``packet`` ids.
 
     Queues are in the order of a hash of ids and contents. Positions come from running totals over ranges of that hash,
@@ -159,21 +227,16 @@ def pack(
     total = sum(n for n, _ in sizes.values())
     runs = max(1, -(-total // (window * windows_per_task)))
 
-    # quotas[r][s]: ids of source s before run r; whole numbers that add up to the ids of r runs.
-    def quota(r: int) -> list[int]:
-        done = min(total, r * window * windows_per_task)
-        whole = [sizes[s][0] * done // total for s in names]
-        rest = sorted(range(len(names)), key=lambda i: (-(sizes[names[i]][0] * done % total), i))
-        for i in rest[: done - sum(whole)]:
-            whole[i] += 1
-        return whole
+    amounts = [sizes[s][0] for s in names]
 
     schema = "source string, rank int, run long, lo long, hi long, quantum double"
 
     def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from shoplens.llm.packing import prefix
+
         for batch in batches:
             for r in batch["id"]:
-                a, b = quota(int(r)), quota(int(r) + 1)
+                a, b = (prefix(amounts, min(total, (int(r) + d) * window * windows_per_task)) for d in (0, 1))
                 yield pd.DataFrame(
                     [(s, i, int(r), a[i], b[i], window * sizes[s][0] / total) for i, s in enumerate(names) if b[i] > a[i]],
                     columns=["source", "rank", "run", "lo", "hi", "quantum"],
@@ -198,12 +261,8 @@ def pack(
         (F.least(F.col("q.at") + F.col("q.n"), F.col("e.hi")) - F.greatest("q.at", "e.lo")).alias("length"),
         F.greatest("q.at", "e.lo").alias("at"),
     )
-    parts = tokens.join(met, "row").select(
-        "doc_id", "source", "run", "rank", "quantum", "start", "length", "at", F.col("n").alias("doc_tokens"),
-        F.substring("ids", F.col("start") * 4 + 1, F.col("length") * 4).alias("ids"),
-    )
 
-    def assemble(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def schedule(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         from shoplens.llm.packing import fill
 
         group = group.sort_values(["rank", "at"], ignore_index=True)
@@ -220,17 +279,24 @@ def pack(
                 out.append([i, int(done[i]), size, sequence, offset])
             done[i] += size
         i, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*out))
-        ids = group["ids"].tolist()
         return pd.DataFrame(
-            {
-                "doc_id": group["doc_id"].to_numpy()[i], "source": group["source"].to_numpy()[i], "start": group["start"].to_numpy()[i] + start,
-                "length": length, "ids": [ids[a][b * 4 : (b + c) * 4] for a, b, c in zip(i, start, length)],
-                "doc_tokens": group["doc_tokens"].to_numpy()[i], "sequence_id": sequence, "offset": offset,
-            }
+            {"row": group["row"].to_numpy()[i], "start": group["start"].to_numpy()[i] + start, "length": length, "sequence_id": sequence, "offset": offset}
         )
 
-    return parts.groupBy("run").applyInPandas(
-        assemble, "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    # Only lengths are scheduled; the ids move once, to their pieces.
+    plan = met.groupBy("run").applyInPandas(schedule, "row long, start long, length long, sequence_id long, offset long")
+    pieces = tokens.select("row", "doc_id", "source", "ids", "n", "width").join(plan, "row").select(
+        "doc_id", "source", "start", "length", F.substring("ids", F.col("start") * F.col("width") + 1, F.col("length") * F.col("width")).alias("ids"),
+        F.col("n").alias("doc_tokens"), "sequence_id", "offset", "width",
+    )
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(x.as_buffer(), f"<u{w}").astype("<u4").tobytes() for x, w in zip(batch.column(4), batch.column(8).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.binary()), *batch.columns[5:8]], batch.schema.names[:8])
+
+    return pieces.mapInArrow(
+        widen, "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
 
 
