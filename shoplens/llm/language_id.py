@@ -126,7 +126,7 @@ def train(docs: DataFrame, bits: int = 15, smoothing: float = 0.5) -> Model:
     """
     spark = docs.sparkSession
     ship(spark)
-    labelled = docs.where("lang is not null and text is not null").select("lang", "text")
+    labelled = with_defaults(docs, lang="string", text="string").where("lang is not null and text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from shoplens.llm.language_id import gram_counts
