@@ -128,7 +128,7 @@ def data_quality(t: Tables, window_start: date = WINDOW_START) -> dict[str, Data
         "orphans": _stack(found for _, found in relations.values()),
         "duplicate_keys": _stack(
             quality.duplicate_keys(t[n], keys).select(
-                F.lit(n).alias("table_name"), F.concat_ws("|", *keys).alias("key"), "n_rows"
+                F.lit(n).alias("table_name"), F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("<null>")) for k in keys]).alias("key"), "n_rows"
             )
             for n, keys in PRIMARY_KEYS.items()
         ),
@@ -213,9 +213,9 @@ def advanced(t: Tables, share: Share = recompute) -> dict[str, DataFrame]:
     days = share(attribution.touch_days(orders, touches), "touch_days")
     engaged = F.lower("interaction_type") != PASSIVE_TOUCH
     engaged_days = attribution.touch_days(orders, touches, touch_filter=engaged)
-    per_channel = kpi.spend_by_channel(spend, campaigns)
-    compared = attribution.model_comparison(attribution.attributed_revenue(days), per_channel)
-    retention = cohorts.cohort_retention(t["customers"], orders, last_day)
+    per_channel = share(kpi.spend_by_channel(spend, campaigns), "spend_by_channel")
+    compared = share(attribution.model_comparison(attribution.attributed_revenue(days), per_channel), "comparison")
+    retention = share(cohorts.cohort_retention(t["customers"], orders, last_day), "retention")
     return {
         "rfm": scored,
         "rfm_coverage": segments.rfm_coverage(scored, orders),

@@ -1,7 +1,8 @@
 """Every operator as a query over the test tables, with the SQL it must agree with.
 
-The SQL states the plain definition (row-level joins, windows over whole tables)
-and shares no rewrite with the operators. Decimals are returned as doubles and
+The SQL states the plain definition (row-level joins, windows over whole tables).
+It shares two definitions with the operators: ties in NTILE are ordered by a hash slot of the id, which the
+published queries leave open, and the funnel counts customers, so it joins them distinct. Decimals are returned as doubles and
 dates as text so that both engines hand over identical values.
 """
 
@@ -72,7 +73,8 @@ _VIEWS = {
         FROM ev WHERE event_type <> 'purchase'""",
     "conv": """
         SELECT event_id AS order_id, user_id AS customer_id, day AS order_date,
-               CAST(value AS DECIMAL(18,2)) AS net_amount
+               CAST(value AS DECIMAL(18,2)) AS net_amount,
+               CASE WHEN event_id % 9 = 4 THEN 'P' ELSE 'F' END AS order_status
         FROM ev WHERE event_type = 'purchase'""",
     "sess": """
         SELECT user_id AS customer_id, 'device' || (k % 3) AS device FROM ev WHERE event_type = 'view'""",
@@ -85,16 +87,24 @@ _VIEWS = {
     # Revenue per credited channel and model, from every earlier touch of every purchase.
     "credit": """
         SELECT c.order_id, any_value(c.customer_id) AS customer_id, any_value(c.order_date) AS order_date,
-               any_value(c.net_amount) AS net_amount,
+               any_value(c.net_amount) AS net_amount, any_value(c.order_status) AS order_status,
                arg_min(t.channel, (t.ts, t.touchpoint_id)) AS first_touch_channel,
                arg_max(t.channel, (t.ts, t.touchpoint_id)) AS last_touch_channel
         FROM conv c LEFT JOIN touch t ON t.customer_id = c.customer_id AND t.ts < c.order_date
         GROUP BY c.order_id""",
+    # What earns: the revenue rule applies before attribution.
+    "sold": """
+        SELECT * FROM credit WHERE order_status <> 'P'""",
+    "typed": """
+        SELECT p_partkey AS product_id,
+               CASE p_partkey % 5 WHEN 0 THEN '  ' || p_type WHEN 1 THEN p_type || ' ' WHEN 2 THEN upper(p_type)
+                                  WHEN 3 THEN lower(p_type) ELSE p_type END AS category
+        FROM part""",
     "chspend": """
         SELECT channel, sum(spend) AS spend, sum(impressions) AS impressions, sum(clicks) AS clicks
         FROM spend JOIN camp USING (campaign_id) GROUP BY channel""",
 }
-_NEEDS = {"touch": ["ev"], "conv": ["ev"], "sess": ["ev"], "spend": ["ev"], "credit": ["conv", "touch"],
+_NEEDS = {"touch": ["ev"], "conv": ["ev"], "sess": ["ev"], "spend": ["ev"], "credit": ["conv", "touch"], "sold": ["credit"],
           "chspend": ["spend", "camp"]}
 
 
@@ -308,28 +318,48 @@ def _(t: Retail):
     )
 
 
+@query(
+    "null_rule_fails",
+    """SELECT 'acquisition_campaign_id' AS column_name, count(*) AS n_rows,
+              count(*) FILTER ((acquisition_campaign_id IS NULL) <> (acquisition_channel = 'Organic')) AS n_failed,
+              bool_and((acquisition_campaign_id IS NULL) = (acquisition_channel = 'Organic')) AS holds
+       FROM cust""",
+    views="cust",
+)
+def _(t: Retail):
+    return quality.null_rule_holds(t.customers, "acquisition_campaign_id", F.col("acquisition_channel") == "Organic")
+
+
+@query(
+    "flag_before",
+    f"""SELECT customer_id, {_S("acquisition_date")} AS acquisition_date,
+               acquisition_date < DATE '2024-01-05' AS before_cutoff FROM cust""",
+    views="cust",
+)
+def _(t: Retail):
+    flagged = quality.flag_before(t.customers, "acquisition_date", date(2024, 1, 5))
+    return flagged.select("customer_id", F.col("acquisition_date").cast("string").alias("acquisition_date"), "before_cutoff")
+
+
 @query(
     "whitespace_values",
-    """SELECT DISTINCT text AS value, CAST(length(text) - length(trim(text)) AS INTEGER) AS whitespace_chars
-       FROM documents WHERE length(text) <> length(trim(text))
-       UNION ALL
-       SELECT DISTINCT o_orderpriority, CAST(length(o_orderpriority) - length(trim(o_orderpriority)) AS INTEGER)
-       FROM orders WHERE length(o_orderpriority) <> length(trim(o_orderpriority))""",
+    """SELECT DISTINCT category AS value, CAST(length(category) - length(trim(category)) AS INTEGER) AS whitespace_chars
+       FROM typed WHERE length(category) <> length(trim(category))""",
+    views="typed",
 )
 def _(t: Retail):
-    return quality.whitespace_values(t.raw("documents"), "text").unionByName(
-        quality.whitespace_values(t.orders, "sales_channel")
-    )
+    return quality.whitespace_values(t.typed_categories, "category")
 
 
 @query(
     "near_duplicate_values",
-    """SELECT lower(trim(text)) AS normalized, count(DISTINCT text) AS n_variants, min(text) AS sample_low,
-              max(text) AS sample_high, count(*) AS n_rows
-       FROM conversations WHERE text IS NOT NULL GROUP BY lower(trim(text)) HAVING count(DISTINCT text) > 1""",
+    """SELECT lower(trim(category)) AS normalized, count(DISTINCT category) AS n_variants, min(category) AS sample_low,
+              max(category) AS sample_high, count(*) AS n_rows
+       FROM typed WHERE category IS NOT NULL GROUP BY lower(trim(category)) HAVING count(DISTINCT category) > 1""",
+    views="typed",
 )
 def _(t: Retail):
-    return quality.near_duplicate_values(t.raw("conversations"), "text")
+    return quality.near_duplicate_values(t.typed_categories, "category")
 
 
 @query(
@@ -1014,7 +1044,7 @@ def _(t: Retail):
 
 
 def _days(t: Retail, touch_filter=None) -> DataFrame:
-    return attribution.touch_days(t.conversions, t.touchpoints, None, touch_filter)
+    return attribution.touch_days(t.conversions, t.touchpoints, EXCLUDED, touch_filter)
 
 
 @query(
@@ -1047,18 +1077,18 @@ def _roas_sql(model: str) -> str:
     return f"""
         SELECT channel, {_D("s.spend")} AS total_spend, {_D("r.revenue")} AS attributed_revenue,
                {_div("r.revenue", "s.spend", 2)} AS roas
-        FROM chspend s JOIN (SELECT {model}_touch_channel AS channel, sum(net_amount) AS revenue FROM credit
+        FROM chspend s JOIN (SELECT {model}_touch_channel AS channel, sum(net_amount) AS revenue FROM sold
                              WHERE {model}_touch_channel IS NOT NULL GROUP BY 1) r USING (channel)"""
 
 
-@query("roas_first", _roas_sql("first"), views="credit chspend")
+@query("roas_first", _roas_sql("first"), views="sold chspend")
 def _(t: Retail):
-    return attribution.roas(t.conversions, t.touchpoints, t.spend, t.campaigns, "first", None)
+    return attribution.roas(t.conversions, t.touchpoints, t.spend, t.campaigns, "first", EXCLUDED)
 
 
-@query("roas_last", _roas_sql("last"), views="credit chspend")
+@query("roas_last", _roas_sql("last"), views="sold chspend")
 def _(t: Retail):
-    return attribution.roas(t.conversions, t.touchpoints, t.spend, t.campaigns, "last", None)
+    return attribution.roas(t.conversions, t.touchpoints, t.spend, t.campaigns, "last", EXCLUDED)
 
 
 @query(
@@ -1066,36 +1096,59 @@ def _(t: Retail):
     f"""SELECT count(*) AS n_orders, {_D("sum(net_amount)")} AS total_revenue,
                count(*) FILTER (first_touch_channel IS NULL) AS n_unattributed,
                {_D("coalesce(sum(net_amount) FILTER (first_touch_channel IS NULL), 0)")} AS unattributed_revenue
-        FROM credit""",
-    views="credit",
+        FROM sold""",
+    views="sold",
 )
 def _(t: Retail):
     return attribution.unattributed(_days(t))
 
 
-_COMPARISON = (
-    "comparison",
-    f"""SELECT channel, spend, f, l, {_I("rank() OVER (ORDER BY f DESC)")} AS rank_first,
+def _comparison_cte(name: str, credit: str) -> tuple[str, str]:
+    return (
+        name,
+        f"""SELECT channel, spend, f, l, {_I("rank() OVER (ORDER BY f DESC)")} AS rank_first,
                {_I("rank() OVER (ORDER BY l DESC)")} AS rank_last
         FROM (SELECT channel, spend,
-                     {_div("coalesce((SELECT sum(net_amount) FROM credit WHERE first_touch_channel = channel), 0)", "spend")} AS f,
-                     {_div("coalesce((SELECT sum(net_amount) FROM credit WHERE last_touch_channel = channel), 0)", "spend")} AS l
+                     {_div(f"coalesce((SELECT sum(net_amount) FROM {credit} WHERE first_touch_channel = channel), 0)", "spend")} AS f,
+                     {_div(f"coalesce((SELECT sum(net_amount) FROM {credit} WHERE last_touch_channel = channel), 0)", "spend")} AS l
               FROM chspend)""",
+    )
+
+
+_COMPARISON = _comparison_cte("comparison", "sold")
+_ENGAGED = (
+    "engaged",
+    """SELECT c.order_id, any_value(c.net_amount) AS net_amount, arg_min(t.channel, (t.ts, t.touchpoint_id)) AS first_touch_channel,
+              arg_max(t.channel, (t.ts, t.touchpoint_id)) AS last_touch_channel
+       FROM conv c LEFT JOIN touch t ON t.customer_id = c.customer_id AND t.ts < c.order_date AND t.interaction_type = 'click'
+       WHERE c.order_status <> 'P' GROUP BY c.order_id""",
 )
 
 
-def _comparison(t: Retail) -> DataFrame:
+def _comparison(t: Retail, touch_filter=None) -> DataFrame:
     return attribution.model_comparison(
-        attribution.attributed_revenue(_days(t)), kpi.spend_by_channel(t.spend, t.campaigns)
+        attribution.attributed_revenue(_days(t, touch_filter)), kpi.spend_by_channel(t.spend, t.campaigns)
     )
 
 
+@query(
+    "model_comparison_engaged",
+    f"""SELECT channel, {_D("spend")} AS total_spend, {_rnd("f", 2)} AS roas_first, {_rnd("l", 2)} AS roas_last,
+               rank_first, rank_last, rank_first - rank_last AS places_gained
+        FROM comparison_engaged""",
+    views="conv touch chspend",
+    ctes=[_ENGAGED, _comparison_cte("comparison_engaged", "engaged")],
+)
+def _(t: Retail):
+    return _comparison(t, F.col("interaction_type") == "click")
+
+
 @query(
     "model_comparison",
     f"""SELECT channel, {_D("spend")} AS total_spend, {_rnd("f", 2)} AS roas_first, {_rnd("l", 2)} AS roas_last,
                rank_first, rank_last, rank_first - rank_last AS places_gained
         FROM comparison""",
-    views="credit chspend",
+    views="sold chspend",
     ctes=[_COMPARISON],
 )
 def _(t: Retail):
@@ -1108,7 +1161,7 @@ def _(t: Retail):
                CASE sign({_rnd("l", 2)} - {_rnd("f", 2)}) WHEN 1 THEN 'last' WHEN -1 THEN 'first' ELSE 'equal' END
                    AS stronger_model
         FROM comparison""",
-    views="credit chspend",
+    views="sold chspend",
     ctes=[_COMPARISON],
 )
 def _(t: Retail):
@@ -1126,8 +1179,8 @@ def _cr(x: str) -> str:
 _CUBE_A = (
     "cube_a",
     f"""SELECT year(order_date)::INTEGER AS year, model, channel, {_cr("sum(net_amount)")} AS revenue_cr
-        FROM (SELECT order_date, net_amount, 'first' AS model, first_touch_channel AS channel FROM credit
-              UNION ALL SELECT order_date, net_amount, 'last', last_touch_channel FROM credit)
+        FROM (SELECT order_date, net_amount, 'first' AS model, first_touch_channel AS channel FROM sold
+              UNION ALL SELECT order_date, net_amount, 'last', last_touch_channel FROM sold)
         WHERE channel IS NOT NULL GROUP BY ALL""",
 )
 _CUBE_S = (
@@ -1150,7 +1203,7 @@ _CUBE_C = (
 @query(
     "cube_attribution",
     f"SELECT year, model, channel, {_D('revenue_cr')} AS revenue_cr FROM cube_a",
-    views="credit",
+    views="sold",
     ctes=[_CUBE_A],
 )
 def _(t: Retail):
@@ -1229,7 +1282,7 @@ def _(t: Retail):
                {_div("coalesce((SELECT sum(revenue_cr) FROM cube_a a WHERE model = 'last' AND a.channel = s.channel), 0)",
                      "sum(spend_cr)", 2)} AS roas_last
         FROM cube_s s GROUP BY channel""",
-    views="credit spend camp",
+    views="sold spend camp",
     ctes=[_CUBE_A, _CUBE_S],
 )
 def _(t: Retail):
@@ -1262,3 +1315,72 @@ def _(t: Retail):
         kpi.margin_by(t.order_items, t.products, revenue="line_value"), "profit_margin_pct", 2, "category"
     ).select("category", "profit_margin_pct")
 
+
+
+_CUBE_M = (
+    "cube_m",
+    f"""SELECT year(order_date)::INTEGER AS year, month(order_date)::INTEGER AS month, sales_channel, count(*) AS orders,
+               {_cr("sum(net_amount)")} AS revenue_cr
+        FROM ord WHERE order_status <> 'P' GROUP BY ALL""",
+)
+_YEAR, _CHANNEL = 1996, "1-URGENT"
+
+
+def _headline_sql(where: str, spend: str, sliced: bool) -> str:
+    roas = "CAST(NULL AS DOUBLE)" if sliced else _div("sum(revenue_cr)", spend, 1)
+    return f"""SELECT {_D("sum(revenue_cr)")} AS revenue_cr, {_B("sum(orders)")} AS orders, {_D(spend)} AS spend_cr,
+                      {roas} AS blended_roas
+               FROM cube_m WHERE {where}"""
+
+
+def _headline(t: Retail, year=None, sales_channel=None) -> DataFrame:
+    first = t.orders.where(~F.col("order_status").isin(*EXCLUDED)).agg(F.min(F.year("order_date"))).first()[0]
+    return cubes.headline_metrics(
+        cubes.cube_monthly(t.orders, EXCLUDED), cubes.cube_spend(t.spend, t.campaigns), first, year, sales_channel
+    )
+
+
+@query(
+    "headline_metrics",
+    _headline_sql("true", "(SELECT sum(spend_cr) FROM cube_s)", False),
+    views="ord spend camp",
+    ctes=[_CUBE_M, _CUBE_S],
+)
+def _(t: Retail):
+    return _headline(t)
+
+
+@query(
+    "headline_metrics_sliced",
+    _headline_sql(f"year = {_YEAR} AND sales_channel = '{_CHANNEL}'", f"(SELECT sum(spend_cr) FROM cube_s WHERE year = {_YEAR})", True),
+    views="ord spend camp",
+    ctes=[_CUBE_M, _CUBE_S],
+)
+def _(t: Retail):
+    return _headline(t, _YEAR, _CHANNEL)
+
+
+@query(
+    "category_metrics_sliced",
+    f"""SELECT category, {_D("sum(revenue_cr)")} AS revenue_cr,
+               {_div("sum(revenue_cr)", "sum(sum(revenue_cr)) OVER ()", 2, 100)} AS share_pct,
+               {_div("sum(revenue_cr - cost_cr)", "sum(revenue_cr)", 2, 100)} AS margin_pct,
+               {_div("sum(returns)", "sum(units)", 2, 100)} AS return_rate_pct
+        FROM cube_c WHERE year = {_YEAR} AND sales_channel = '{_CHANNEL}' GROUP BY category""",
+    views="item ord prod",
+    ctes=[_CUBE_C],
+)
+def _(t: Retail):
+    cube = cubes.cube_category(t.order_items, t.orders, t.products, t.returns, EXCLUDED, "line_value")
+    return cubes.category_metrics(cube, _YEAR, _CHANNEL)
+
+
+@query(
+    "highest_margins",
+    f"""SELECT category, profit_margin_pct FROM ({_margin_sql("category")}) ORDER BY profit_margin_pct DESC, category LIMIT 2""",
+    views="item prod",
+)
+def _(t: Retail):
+    return cubes.highest(
+        kpi.margin_by(t.order_items, t.products, revenue="line_value"), "profit_margin_pct", 2, "category"
+    ).select("category", "profit_margin_pct")

@@ -42,7 +42,7 @@ def attribute(
         *day, "first_touch_channel", "last_touch_channel"
     )
     kept = recognized(orders, excluded).select("order_id", *day, "net_amount")
-    return lookup_join(kept, credited, day, "left", spread_by=["order_id"]).select(
+    return lookup_join(kept, credited, day, "left").select(
         "order_id", *day, "net_amount", "first_touch_channel", "last_touch_channel"
     )
 

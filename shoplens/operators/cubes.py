@@ -73,19 +73,24 @@ def cube_category(
 ) -> DataFrame:
     """Revenue, cost, units and returns by order year, sales channel and category.
 
-    Excluded orders count only in returns. Lines and returns are stacked and
-    meet the orders in one join.
+    Excluded orders count only in returns. As in :func:`kpi.return_rate_by`, a return counts where its order has a line of
+    the product. Lines and returns are summed per (order, product) in one aggregation, so that a line
+    sold or returned many times is one row, and meet the orders in one join.
     """
     value = line_revenue() if revenue is None else as_col(revenue)
     line = ["order_id", "product_id"]
     lines = (
-        items.select(*line, value.alias("revenue"), F.col("quantity").alias("units"))
+        items.select(*line, value.alias("revenue"), F.col("quantity").alias("units"), F.lit(1).alias("_line"))
         .unionByName(returns.select(*line, F.lit(1).alias("returns")), allowMissingColumns=True)
+        .groupBy(*line)
+        .agg(*[F.sum(m).alias(m) for m in ("revenue", "units", "returns")], F.max("_line").alias("_line"))
+        .where("_line = 1")
+        .drop("_line")
     )
     earns = ~F.col("order_status").isin(*excluded) if excluded else F.lit(True)
     heads = orders.select("order_id", F.year("order_date").alias("year"), "sales_channel", earns.alias("_earns"))
     per_product = (
-        lookup_join(lines, heads, ["order_id"], spread_by=["product_id"])
+        lookup_join(lines, heads, ["order_id"])
         .groupBy("year", "sales_channel", "product_id")
         .agg(
             *[F.sum(F.when(F.col("_earns"), F.col(m))).alias(m) for m in ("revenue", "units")],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import count_rows, money, ratio
 from ..functions.rules import CANCELLED, recognized
 from ..plans.ntile import exact_ntile
+from ..plans.stored import keep
 
 # Lowest total score of each segment, best first, and the rest.
 SEGMENTS = ((12, "Champions"), (9, "Loyal Customers"), (6, "At Risk"))
@@ -31,18 +32,19 @@ def rfm(
     counted order are absent. ``as_of`` defaults to the last counted order date.
     """
     counted = recognized(orders, excluded)
-    today = counted.agg(F.max(order_date)).scalar() if as_of is None else F.lit(as_of).cast("date")
     per_customer = (
-        counted.where(F.col(customer).isNotNull())
-        .groupBy(customer)
+        counted.groupBy(customer)
         .agg(
             F.max(order_date).alias("last_order"),
             count_rows().alias("number_of_orders"),
             money(F.sum(amount)).alias("total_value"),
         )
     )
+    # The orders are read once; the edges, the last date and the rows all come from this table.
+    per_customer = keep(per_customer, "customers")
+    today = per_customer.agg(F.max("last_order")).scalar() if as_of is None else F.lit(as_of).cast("date")
     scored = exact_ntile(
-        per_customer,
+        per_customer.where(F.col(customer).isNotNull()),
         customer,
         {
             # The latest order last, so that recent customers get the top bucket.
@@ -51,8 +53,6 @@ def rfm(
             "m_score": F.col("total_value") * 100,
         },
         buckets,
-        # Totals up to ten digits leave at most a million distinct values per four-digit prefix.
-        prefixes=(4,),
     )
     total = F.col("rfm_total")
     segment = F.lit(REST)

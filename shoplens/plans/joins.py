@@ -2,83 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.expr import count_rows
 
-_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join facts to a table holding at most one row per key, by ``inner`` or ``left``.
 
-_SLICES_PER_PARTITION = 4
-_EXPANSION = 4
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    """The session's broadcast threshold in bytes; negative when broadcasting is off."""
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
-    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", raw).groups()
-    return int(number) * _UNITS[unit]
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Catalyst's size estimate of ``df`` is well below the session's broadcast threshold.
-
-    The estimate starts from compressed file sizes, so it is counted fourfold.
-    What is too large here may still be broadcast by adaptive execution, which
-    knows the exact size by then.
+    One logical plan at every size. Whether the lookup is broadcast is left to the optimizer and to adaptive execution, which
+    knows its exact size. If both sides are shuffled, adaptive execution cuts a partition that one hot key
+    fills into pieces and reads the few lookup rows for each of them; ``build_session`` turns that on, also
+    where it costs a further shuffle. Only the lookup side must not be hot, and it has one row per key.
     """
-    if getattr(df, "_jdf", None) is None:  # no size estimate: treat as large
-        return False
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size * _EXPANSION <= broadcast_limit(df)
-
-
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    spread_by: Sequence[str] | None = None,
-) -> DataFrame:
-    """Join facts to a table holding at most one row per key.
-
-    A lookup whose size estimate fits the broadcast threshold is broadcast. Facts
-    below it are joined plainly. Otherwise both are shuffled, with hot keys split: a key holding more than two
-    average shuffle partitions of the facts is cut into slices of a quarter
-    partition, by a hash of ``spread_by`` (default: all other fact columns), and
-    its lookup row is repeated once per slice. With p shuffle partitions, fewer
-    than p / 2 keys can be that hot and 5 p lookup rows are added at most, which
-    bounds the broadcast list of hot keys and the repetition.
-    """
-    on = list(on)
-    if fits_broadcast(lookup):
-        return facts.join(F.broadcast(lookup), on, how)
-    if fits_broadcast(facts):  # too few facts for any key to be hot
-        return facts.join(lookup, on, how)
-    return _split_join(facts, lookup, on, how, spread_by)
-
-
-def _split_join(facts, lookup, on, how, spread_by):
-    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = [F.col(c) for c in (spread_by or [c for c in facts.columns if c not in on])]
-    total = facts.agg(count_rows()).scalar()
-    hot = F.broadcast(
-        facts.dropna(subset=on)
-        .groupBy(*on)
-        .agg(count_rows().alias("_n"))
-        .where(F.col("_n") * parts > 2 * total)
-        .select(*on, F.ceil(F.col("_n") * parts * _SLICES_PER_PARTITION / total).cast("int").alias("_slices"))
-    )
-    any_null = F.lit(False)
-    for c in on:
-        any_null = any_null | F.col(c).isNull()
-    # Rows without a key match nothing, so they may go anywhere.
-    slices = F.when(any_null, parts).otherwise(F.coalesce("_slices", F.lit(1)))
-    left = facts.join(hot, on, "left").withColumn("_slice", F.pmod(F.xxhash64(*spread), slices).cast("int"))
-    right = lookup.join(hot, on, "left").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))
-    )
-    return left.drop("_slices").join(right.drop("_slices"), [*on, "_slice"], how).drop("_slice")
+    return facts.join(lookup, list(on), how)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -29,3 +30,14 @@ def stored(spark: SparkSession, fallback: str) -> Share:
         return spark.read.schema(df.schema).parquet(f"{run}/{name}")
 
     return share
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder; without one, local mode uses a temporary folder."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="run-")
+    return stored(spark, base)(df, name)

@@ -15,6 +15,7 @@ def build_session(app: str = "shoplens", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.ui.enabled": "false",
         # Skips recording the Python call site of every Column call, which dominates plan building.
         "spark.python.sql.dataFrameDebugging.enabled": "false",

@@ -102,6 +102,19 @@ class Retail:
             (_dec("p_retailprice") * F.lit(Decimal("0.6"))).alias("cost"),
         )
 
+    @cached_property
+    def typed_categories(self) -> DataFrame:
+        """Products with categories as typed by hand: padded or in other case, by the key."""
+        kind, c = F.pmod("p_partkey", F.lit(5)), F.col("p_type")
+        typed = (
+            F.when(kind == 0, F.concat(F.lit("  "), c))
+            .when(kind == 1, F.concat(c, F.lit(" ")))
+            .when(kind == 2, F.upper(c))
+            .when(kind == 3, F.lower(c))
+            .otherwise(c)
+        )
+        return self.raw("part").select(F.col("p_partkey").alias("product_id"), typed.alias("category"))
+
     @cached_property
     def campaigns(self) -> DataFrame:
         start = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("p_size", F.lit(15)).cast("int"))
@@ -164,7 +177,7 @@ class Retail:
 
     @cached_property
     def conversions(self) -> DataFrame:
-        """Purchases in the role of orders, for attribution."""
+        """Purchases in the role of orders, for attribution; every ninth id is of an excluded one."""
         return (
             self.raw("events")
             .where("event_type = 'purchase'")
@@ -173,6 +186,7 @@ class Retail:
                 F.col("user_id").alias("customer_id"),
                 F.to_date("ts").alias("order_date"),
                 F.col("value").cast("decimal(18,2)").alias("net_amount"),
+                F.when(F.pmod("event_id", F.lit(9)) == 4, EXCLUDED[0]).otherwise("F").alias("order_status"),
             )
         )
 
