@@ -14,18 +14,21 @@ from shoplens.llm.common import shared_folder, ship, with_defaults
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-RECORD = "id string, type string, concurrent_to string, uri string, refers_to string, headers map<string,string>, block binary"
+RECORD = "id string, type string, concurrent_to string, uri string, refers_to string, headers map<string,string>, head int, block binary"
 
 
 def base32_sha1(data: Column) -> Column:
     """Bare upper-case base32 of the SHA-1 of binary ``data``."""
-    digest = F.sha1(data)
     letters = F.lit(_BASE32)
-    groups = []
-    for i in range(8):  # five hex digits are four letters
-        part = F.conv(F.substring(digest, i * 5 + 1, 5), 16, 10).cast("int")
-        groups += [F.substring(letters, F.shiftright(part, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*groups)
+
+    def spell(digest: Column) -> Column:
+        groups = []
+        for i in range(8):  # five hex digits are four letters
+            part = F.conv(F.substring(digest, i * 5 + 1, 5), 16, 10).cast("int")
+            groups += [F.substring(letters, F.shiftright(part, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
+        return F.concat(*groups)
+
+    return F.element_at(F.transform(F.array(F.sha1(data)), spell), 1)  # hashed once
 
 
 def _urn(*parts: Column) -> Column:
@@ -53,16 +56,23 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-0
     pages = with_defaults(pages, page_id="long", url="string", html="string")
     pages = pages.withColumn("html", F.coalesce("html", F.lit("")))
     pages = pages.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    # Numbers rows that share an id. Null ids are spread by payload.
-    same = Window.partitionBy("page_id", F.when(F.col("page_id").isNull(), F.col("digest"))).orderBy("digest", "url")
-    pages = pages.withColumn("copy", F.row_number().over(same))
-    name = F.struct(F.coalesce("page_id", F.lit(2**63 - 1)).alias("page"), "copy")
-    firsts = pages.select("digest", "bytes", name.alias("name")).where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("name").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pages = pages.withColumn("name", name).join(firsts, "digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("first") != F.col("name"))
+    # Rows that share an id are numbered; a row without one is known by its contents.
+    pages = pages.withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.concat_ws("/", F.lit("none"), "digest", "url")))
+    number = F.row_number().over(Window.partitionBy("key").orderBy("digest", "url"))
+    name = F.struct(F.coalesce("page_id", F.lit(2**63 - 1)).alias("page"), "key", "copy")
+    slim = pages.select("key", "page_id", "digest", "url", "bytes").withColumn("copy", number)
+    slim = slim.where(F.col("bytes") >= least_bytes).select("digest", name.alias("name"))
+    firsts = slim.groupBy("digest").agg(F.min("name").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = slim.join(firsts, "digest").where("first != name").groupBy("name.key").agg(
+        F.map_from_entries(F.collect_list(F.struct("name.copy", "first"))).alias("firsts")
+    )
+    # The payloads move once, to where their ids are.
+    pages = pages.withColumn("copy", number).join(again, "key", "left")
+    pages = pages.withColumn("name", name).withColumn("first", F.col("firsts")[F.col("copy")])
+    revisit = F.col("first").isNotNull()
 
     def ident(what: str, of: str) -> Column:
-        return _urn(F.lit(what), F.col(f"{of}.page").cast("string"), F.col(f"{of}.copy").cast("string"))
+        return _urn(F.lit(what), F.col(f"{of}.key"), F.col(f"{of}.copy").cast("string"))
 
     uri = F.coalesce(F.regexp_replace("url", r"[\x00-\x20]", "%20"), F.lit(""))
     common = [("WARC-Target-URI", uri), ("WARC-Date", F.lit(date))]
@@ -106,7 +116,7 @@ def parse(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all archives under ``path``: ``id, type, concurrent_to, uri, refers_to, headers, block``. A file is one task's unit."""
+    """Records of all archives under ``path``: ``id, type, concurrent_to, uri, refers_to, headers, head, block``; ``head`` is the length of the HTTP head. A file is one task's unit."""
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
@@ -115,8 +125,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
         from shoplens.llm.warc import parse
 
-        names = ["id", "type", "concurrent_to", "uri", "refers_to", "headers", "block"]
-        kinds = [pa.string()] * 5 + [pa.map_(pa.string(), pa.string()), pa.binary()]
+        names = ["id", "type", "concurrent_to", "uri", "refers_to", "headers", "head", "block"]
+        kinds = [pa.string()] * 5 + [pa.map_(pa.string(), pa.string()), pa.int32(), pa.binary()]
 
         def flush(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -127,7 +137,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 rows, held = [], 0
                 for kind, headers, block in parse(data):
-                    rows.append((headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-refers-to"), list(headers.items()), block))
+                    rows.append((headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-refers-to"), list(headers.items()), block.find(b"\r\n\r\n") + 4, block))
                     held += len(block)
                     if held > 1 << 22:
                         yield flush(rows)
@@ -149,9 +159,7 @@ def assemble(records: DataFrame) -> DataFrame:
     part = F.struct("id", "headers", "block")
     side = lambda kind: records.where(F.col("type") == kind).select(F.col("concurrent_to").alias("key"), part.alias(kind))
     main = records.where(F.col("type").isin("response", "revisit")).withColumn("key", F.col("id"))
-    split = F.expr("locate('0D0A0D0A', hex(substring(block, 1, 16384)))")
-    head = F.when(split > 0, F.floor((split - 1) / 2) + 5).otherwise(F.lit(1)).cast("int")
-    payload = F.when(F.col("type") == "response", F.substring("block", head, F.octet_length("block")))
+    payload = F.when(F.col("type") == "response", F.substring("block", F.when(F.col("head") > 3, F.col("head") + 1).otherwise(F.lit(1)), F.octet_length("block")))
     main = main.select(
         "key", "uri", F.col("type").alias("record_type"), "refers_to", payload.alias("payload"),
         F.when(F.col("type") == "response", base32_sha1(payload)).otherwise(F.regexp_replace(F.col("headers")["warc-payload-digest"], "^sha1:", "")).alias("payload_digest"),
