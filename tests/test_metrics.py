@@ -319,3 +319,13 @@ def test_lowest_and_highest(spark):
     t = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", None), ("d", 1.0)], "k string, m double")
     assert [r[0] for r in cubes.lowest(t, "m", 2, "k").collect()] == ["b", "d"]
     assert [r[0] for r in cubes.highest(t, "m", 1, "k").collect()] == ["a"]
+
+
+def test_cube_and_rate_agree_on_returns_without_a_line(orders, baskets):
+    """A return of a product that its order does not hold counts in neither."""
+    items, products, returns = baskets
+    stray = returns.sparkSession.createDataFrame([("R5", "O1", "P3", date(2023, 2, 2), "Late", D(1))] * 2, returns.schema)
+    cube = cubes.cube_category(items, orders, products, returns.unionAll(stray))
+    counted = {r["category"]: r["n"] for r in cube.groupBy("category").agg(F.sum("returns").alias("n")).collect()}
+    rates = kpi.return_rate_by(items, products, returns.unionAll(stray)).collect()
+    assert counted == {r["category"]: r["total_returns"] for r in rates} == {"Books": 2, "Toys": 1}
