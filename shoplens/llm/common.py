@@ -159,12 +159,15 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def text_slices(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of rows holding about ``limit`` bytes; a null is an empty text."""
-    column = column.cast(pa.large_string()).fill_null("")
+def text_slices(column: pa.Array, limit: int = 1 << 21, rows: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of at most ``rows`` rows holding about ``limit`` bytes; a null is an empty text."""
+    for first in range(0, len(column), rows):
+        for lo, data, offsets in _slices(column.slice(first, rows).cast(pa.large_string()).fill_null(""), limit):
+            yield first + lo, data, offsets
+
+
+def _slices(column: pa.Array, limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     n = len(column)
-    if not n:
-        return
     buffers = column.buffers()
     offsets = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + n + 1]
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)

@@ -91,24 +91,6 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, mark1, mark2, shingles``: the sets themselves, as sorted 64-bit hashes."""
-    ship(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from shoplens.llm import jaccard_join as j
-
-        for batch in batches:
-            found = [s for _, s in j.shingle_sets(batch.column(1), words)]
-            marks = [j._marks(s) for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
-                ["doc_id", "mark1", "mark2", "shingles"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, mark1 long, mark2 long, shingles binary")
-
-
 class CountTree:
     """An R-tree over count vectors, packed by sorting on the widest coordinates. Only box maxima bound an overlap."""
 
@@ -153,85 +135,131 @@ def _need(size: int, percent: int) -> Callable[[np.ndarray], np.ndarray]:
     return lambda other: np.maximum(np.ceil(percent * (size + other) / (100 + percent)), np.ceil(size * percent / 100))
 
 
-def nearest_pairs(ids: np.ndarray, points: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """For each member the earlier member with the largest bound, if that reaches the needed overlap."""
-    tree, out = CountTree(points), []
-    sizes = points.sum(axis=1)
-    rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-    for i in range(len(ids)):
-        found, bound = tree.search(points[i], _need(int(sizes[i]), percent))
-        earlier = rank[found] < rank[i]
-        if earlier.any():
-            found, bound = found[earlier], bound[earlier]
-            j = found[np.lexsort((ids[found], -bound))[0]]
-            out.append((int(ids[j]), int(ids[i])))
-    return out
+def _needs(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Overlaps that pairs of sizes need: inter / union >= percent / 100."""
+    return -(-percent * (a + b) // (100 + percent))
+
 
+def nearest_pairs(ids: np.ndarray, points: np.ndarray, percent: int) -> list[tuple[int, int, int]]:
+    """``(earlier, member, bound)``: for each member the member with a smaller id and the largest bound, if that reaches the needed overlap.
 
-def apart_pairs(left: tuple, right: tuple, percent: int) -> list[tuple[int, int]]:
-    """All pairs of left and right members in different components whose bound reaches the needed overlap."""
+    All members walk the tree's leaves together: those whose bound with a leaf's box is too small are left out, the others
+    meet the leaf's points.
+    """
+    order = np.argsort(ids, kind="stable")
+    ids, points = ids[order], points[order]
+    n = len(ids)
+    if n == 2:
+        bound, sizes = int(np.minimum(points[0], points[1]).sum()), points.sum(axis=1)
+        return [(int(ids[0]), int(ids[1]), bound)] if bound >= _needs(sizes[0], sizes[1], percent) and ids[0] < ids[1] else []
+    sizes = points.sum(axis=1)
+    tree = CountTree(points)
+    best, at = np.full(n, -1), np.full(n, -1)
+    least = -(-sizes * percent // 100)
+    boxes = tree.levels[0] if tree.levels else points
+    for k, box in enumerate(boxes):
+        own = np.sort(tree.order[k * _FAN : (k + 1) * _FAN])
+        q = np.flatnonzero(np.minimum(points, box).sum(axis=1) >= least)
+        q = q[q > own[0]]
+        if not len(q):
+            continue
+        bound = np.minimum(points[q][:, None, :], points[own][None, :, :]).sum(axis=2)
+        fits = (bound >= _needs(sizes[q][:, None], sizes[own][None, :], percent)) & (ids[own][None, :] < ids[q][:, None])
+        bound = np.where(fits, bound, -1)
+        j = bound.argmax(axis=1)
+        top, who = bound[np.arange(len(q)), j], own[j]
+        better = (top > best[q]) | ((top == best[q]) & (top >= 0) & (who < at[q]))
+        best[q[better]], at[q[better]] = top[better], who[better]
+    found = np.flatnonzero(at >= 0)
+    return [(int(ids[at[i]]), int(ids[i]), int(best[i])) for i in found]
+
+
+def apart_pairs(left: tuple, right: tuple, percent: int) -> list[tuple[int, int, int]]:
+    """``(a, b, bound)`` of all pairs of left and right members in different components whose bound reaches the needed overlap."""
     ids, points, parts = left
+    nodes, others, theirs = right
     tree, out = CountTree(points), []
-    for node, point, part in zip(*right):
-        found, _ = tree.search(point, _need(int(point.sum()), percent))
-        found = found[parts[found] != part]
-        out += [(min(int(ids[j]), int(node)), max(int(ids[j]), int(node))) for j in found]
+    sizes, needed = points.sum(axis=1), others.sum(axis=1)
+    boxes = tree.levels[0] if tree.levels else points
+    for k, box in enumerate(boxes):
+        own = tree.order[k * _FAN : (k + 1) * _FAN]
+        q = np.flatnonzero(np.minimum(others, box).sum(axis=1) >= -(-needed * percent // 100))
+        if not len(q):
+            continue
+        bound = np.minimum(others[q][:, None, :], points[own][None, :, :]).sum(axis=2)
+        fits = (bound >= _needs(needed[q][:, None], sizes[own][None, :], percent)) & (theirs[q][:, None] != parts[own][None, :])
+        for x, y in zip(*np.nonzero(fits)):
+            a, b = int(ids[own[y]]), int(nodes[q[x]])
+            out.append((min(a, b), max(a, b), int(bound[x, y])))
     return out
 
 
-def _runs(df: DataFrame, by: list[str], use: Callable[[pd.DataFrame], list[tuple[int, int]]]) -> DataFrame:
-    """``(a, b)`` from ``use`` on each run of rows that agree in ``by``; runs have bounded size."""
+def _runs(df: DataFrame, by: list[str], use: Callable[[dict[str, np.ndarray]], list[tuple[int, int, int]]]) -> DataFrame:
+    """``(a, b, bound)`` from ``use`` on each run of rows that agree in ``by``; runs have bounded size."""
     df = df.repartition(*by).sortWithinPartitions(*by)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, out = None, []
+        rest = None
+
+        def done(part: pd.DataFrame, edges: list[int]) -> pd.DataFrame:
+            columns = {c: part[c].to_numpy() for c in part.columns if c != "counts"}
+            columns["counts"] = np.frombuffer(b"".join(part["counts"]), "<u4").reshape(len(part), GROUPS).astype(np.int32)
+            out = []
+            for lo, hi in zip(edges, edges[1:]):
+                if hi - lo > 1:
+                    out += use({c: v[lo:hi] for c, v in columns.items()})
+            return pd.DataFrame(out, columns=["a", "b", "bound"])
+
         for batch in batches:
             rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             keys = rest[by].to_numpy()
-            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for lo, hi in zip(np.concatenate([[0], edges]), edges):
-                out += use(rest.iloc[lo:hi])
-            rest = rest.iloc[edges[-1] if len(edges) else 0 :].reset_index(drop=True)
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
-                out = []
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+            if len(edges) > 1:
+                yield done(rest.iloc[: edges[-1]], edges)
+                rest = rest.iloc[edges[-1] :].reset_index(drop=True)
         if rest is not None and len(rest):
-            out = use(rest)
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
-
-    return df.mapInPandas(run, "a long, b long")
+            yield done(rest, [0, len(rest)])
 
+    return df.mapInPandas(run, "a long, b long, bound long")
 
-def _points(group: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(group["counts"]), "<u4").reshape(len(group), GROUPS).astype(np.int64)
 
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, broadcast_rows: int) -> DataFrame:
+    """The pairs whose sets meet the threshold exactly: 100 * intersection >= percent * union.
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose sets meet the threshold exactly: 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.select("node", "mark1", "mark2").join(wanted, "node")
-    texts = docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    found = sets_of(texts, words).alias("s").join(
-        wanted.alias("w"), (F.col("s.doc_id") == F.col("w.node")) & (F.col("s.mark1") == F.col("w.mark1")) & (F.col("s.mark2") == F.col("w.mark2"))
-    ).select("w.node", "s.shingles").dropDuplicates(["node"])
-    found = stored(found, "sets")
-    side = lambda c: found.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    Texts move, not sets: hashes do not compress. A node's marks tell its text where rows share an id.
+    """
+    wanted = stored(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+    texts = docs.join(wanted, "doc_id", "left_semi")
+    marks = nodes.select(F.col("node").alias("doc_id"), "mark1", "mark2").join(wanted, "doc_id", "left_semi")
+    side = lambda df, c: df.select(*[F.col(x).alias(c if x == "doc_id" else f"{c}_{x}") for x in df.columns])
+    marked = pairs.join(side(marks, "a"), "a").join(side(marks, "b"), "b")
+    # Pairs of numbers go to the texts of one side, if they are few; so only the other side's texts are shuffled beside them.
+    marked = F.broadcast(marked) if pairs.count() <= broadcast_rows else marked
+    both = side(texts, "a").join(marked, "a").join(side(texts, "b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from shoplens.llm import jaccard_join as j
+
         for batch in batches:
+            marks = list(zip(*[batch.column(i).to_pylist() for i in range(2, 6)]))
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both_ = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both_ >= percent * (len(x) + len(y) - both_))
+            for (_, x), (_, y), m in zip(j.shingle_sets(batch.column(6), words), j.shingle_sets(batch.column(7), words), marks):
+                common = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common) and (*j._marks(x), *j._marks(y)) == m)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "a_mark1", "a_mark2", "b_mark1", "b_mark2", "a_text", "b_text").mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 512) -> DataFrame:
+def _in_different(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return joined.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+
+
+def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 512, broadcast_keys: int = 2_000_000) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row: the size of its set and the smallest id reachable by links.
 
     Texts are read whole and lower-cased in A-Z only. Two documents link when 100 * intersection >= ``percent`` * union of their
@@ -240,27 +268,35 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block
     1. Equal sets become one node, the smallest id; a group of copies costs one row from here on.
     2. Nodes are filed under their slice keys. Keys with several members are buckets; buckets with the same members count once.
     3. A bucket is cut into blocks of about ``block`` members, each with the bucket's first member. In each block's R-tree a member
-       looks for the earlier member with the largest bound. Pairs are verified, links joined to components.
+       looks for the earlier member with the largest bound. Each member's best pair is verified, then those of the others whose
+       ends are still apart; links are joined to components.
     4. Buckets whose members are now in one component are done. In all others every pair in different components is looked up
        through the R-trees, blocks against blocks, where members of the bucket's largest component are compared with the others only.
 
     Null, empty and wordless texts have an empty set and link with nothing. A row without an id has no component; rows that
-    share an id share a node only if their sets are equal or the id is the smallest of both sets. Other columns are ignored. No rows give no rows.
-    Sums are combined before shuffles; large buckets are cut by a hash, so no group meets in one task.
+    share an id but not a set are linked under that id if it is the smallest of both sets. Other columns are ignored. No rows give no rows.
+    Sums are combined before shuffles; large buckets are cut by a hash, so no group meets in one task. Up to
+    ``broadcast_keys`` shared keys or ids (8 bytes each) are broadcast, more are joined by a shuffle, with the same result.
     """
     spark = docs.sparkSession
     shared_folder(spark)
     docs = with_defaults(docs, doc_id="long", text="string")
     signed = stored(signatures(docs, words, percent), "signatures")
-    nodes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("mark1", "mark2", "n_shingles").agg(
-        F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("counts").alias("counts")
-    )
-    nodes = stored(nodes, "nodes")
-    filed = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = filed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"), F.min("node").alias("pivot")).where("n > 1")
+    usable = signed.where("n_shingles > 0 and doc_id is not null")
+    sets = ["mark1", "mark2", "n_shingles"]
+    classes = usable.groupBy(*sets).agg(F.min("doc_id").alias("node"))
+    copies = stored(usable.select("doc_id", *sets).join(classes, sets).where("doc_id <> node").select("doc_id", *sets).distinct(), "copies")
+    firsts = usable.join(F.broadcast(copies) if copies.count() <= broadcast_keys else copies, ["doc_id", *sets], "left_anti")
+    nodes = firsts.select(F.col("doc_id").alias("node"), *sets, "counts").dropDuplicates(["node", *sets])
+    filed = firsts.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
+    # Nearly all keys have one member; only those of several are looked up again.
+    several = filed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
+    several = stored(several, "several")
+    held = stored(filed.join(F.broadcast(several) if several.count() <= broadcast_keys else several, "key").distinct(), "held")
+    buckets = held.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"), F.min("node").alias("pivot"))
     buckets = buckets.groupBy("n", "members", "pivot").agg(F.min("key").alias("key"))
-    members = filed.join(buckets.select("key", "n", "pivot"), "key")
-    members = stored(members.join(nodes.select("node", "counts"), "node").select("key", "n", "pivot", "node", "counts"), "members")
+    members = held.join(buckets.select("key", "n", "pivot"), "key")
+    members = stored(members.join(nodes.dropDuplicates(["node"]).select("node", "counts"), "node").select("key", "n", "pivot", "node", "counts"), "members")
 
     blocks = F.ceil(F.col("n") / block).cast("int")
     # The pivot is in every block, so that blocks of one bucket meet.
@@ -268,8 +304,13 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block
         F.array(F.pmod(F.xxhash64("node", "key"), blocks).cast("int"))
     )
     dealt = members.select("key", F.explode(own).alias("block"), "node", "counts")
-    pairs = _runs(dealt, ["key", "block"], lambda g: nearest_pairs(g["node"].to_numpy(), _points(g), percent)).distinct()
-    links = stored(verify(stored(pairs, "near"), nodes, docs, words, percent), "links")
+    pairs = _runs(dealt, ["key", "block"], lambda g: nearest_pairs(g["node"], g["counts"], percent)).distinct()
+    pairs = stored(pairs, "near")
+    # The best of each member first; most others then lie within one component and need no look at the sets.
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("bound", -F.col("a"))).alias("a")).select("a", "b")
+    links = stored(verify(stored(best, "best"), nodes, docs, words, percent, broadcast_keys), "links_0")
+    rest = _in_different(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), components(links))
+    links = links.unionAll(stored(verify(stored(rest, "rest"), nodes, docs, words, percent, broadcast_keys), "links_1"))
     found = components(links)
 
     parted = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -283,16 +324,17 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block
     left = parted.select(*keep, F.lit(0).alias("side"), spot(left_blocks, 1).alias("i"), F.explode(F.sequence(F.lit(0), right_blocks - 1)).alias("j"))
     right = parted.where("component != big").select(*keep, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), left_blocks - 1)).alias("i"), spot(right_blocks, 2).alias("j"))
 
-    def compare(group: pd.DataFrame) -> list[tuple[int, int]]:
-        side = group["side"].to_numpy()
-        cut = lambda s: (group["node"].to_numpy()[side == s], _points(group)[side == s], group["component"].to_numpy()[side == s])
+    def compare(group: dict[str, np.ndarray]) -> list[tuple[int, int, int]]:
+        side = group["side"]
+        cut = lambda s: tuple(group[c][side == s] for c in ("node", "counts", "component"))
         return apart_pairs(cut(0), cut(1), percent) if 0 < side.sum() < len(side) else []
 
-    apart = _runs(left.unionAll(right), ["key", "i", "j"], compare).distinct()
-    more = verify(stored(apart, "apart"), nodes, docs, words, percent)
+    apart = _runs(left.unionAll(right), ["key", "i", "j"], compare).select("a", "b").distinct()
+    apart = stored(apart.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "apart")
+    more = verify(apart, nodes, docs, words, percent, broadcast_keys)
     found = components(links.unionAll(more))
 
-    named = nodes.select("mark1", "mark2", F.col("n_shingles").alias("n"), "node").join(found, "node", "left")
+    named = classes.select("mark1", "mark2", F.col("n_shingles").alias("n"), "node").join(found, "node", "left")
     named = named.select("mark1", "mark2", "n", F.coalesce("component", "node").alias("component"))
     rows = signed.select("doc_id", "n_shingles", "mark1", "mark2")
     on = (rows["mark1"] == named["mark1"]) & (rows["mark2"] == named["mark2"]) & (rows["n_shingles"] == named["n"]) & rows["doc_id"].isNotNull()
