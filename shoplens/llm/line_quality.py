@@ -40,6 +40,13 @@ def _repeated(words: Column) -> Column:
     return _let(F.transform(words, lambda w: F.xxhash64(w)), count)
 
 
+def _without(text: Column, gone: Column) -> Column:
+    """``text`` without the lines whose normalised form has a hash in ``gone``; lines without a word stay."""
+    words_of = lambda x: F.filter(F.split(x, SPACE), lambda w: w != "")
+    stays = lambda x: ~x.rlike(WORD) | ~F.array_contains(gone, F.xxhash64(F.lower(F.array_join(words_of(x), " "))))
+    return F.array_join(F.filter(F.split(text, "\n"), stays), "\n")
+
+
 def _measures(text: Column) -> Column:
     """All figures of one text, and its lines as (hash of the normalised line, words)."""
     spaces = lambda t: F.split(t, SPACE)
@@ -63,16 +70,17 @@ def _measures(text: Column) -> Column:
 
 
 def line_quality(
-    docs: DataFrame, min_docs: int = 5, max_share: float = 0.02, max_removed: float = 0.5, min_words: int = 50,
+    docs: DataFrame, min_docs: int = 5, max_share: float = 0.02, max_removed: float = 0.5, min_words: int = 50, cleaned: bool = True,
 ) -> DataFrame:
-    """Figures and verdict per row: ``doc_id, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed, kept``.
+    """Figures and verdict per row: ``doc_id, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed, kept``,
+    and with ``cleaned`` also ``text`` without the lines taken out (a null text stays null).
 
     A line, with white space collapsed and in lower case, is taken out of a host's (``source``'s) documents if more than ``min_docs`` of
     its documents and more than ``max_share`` of them hold it; exact copies of a text count as one document.
     A document that loses more than ``max_removed`` of its words is rejected, as is one that fails the base rule
     (under ``min_words`` words, or over half of them in repeated three-word windows).
 
-    Texts are read once; figures and line hashes are written. Frequencies are summed before they are shuffled, and a host with a
+    Texts are read once, and once more where they are cleaned; figures and line hashes are written. Frequencies are summed before they are shuffled, and a host with a
     third of all rows is spread by line. A null source is a host of its own. A null or empty text has no words and fails. Repeated
     rows get equal results. Other columns are ignored; no rows give no rows. Whole texts are measured.
     """
@@ -89,19 +97,31 @@ def line_quality(
     hosts = distinct.groupBy("host").agg(F.count("*").alias("docs"))
     frequent = counts.where(F.col("n") > min_docs).join(hosts, "host").where(F.col("n") > F.col("docs") * max_share).select("host", "h")
     held = distinct.select("host", "mark", "chars", F.explode("lines").alias("line")).select("host", "mark", "chars", "line.h", "line.w")
-    removed = held.join(frequent, ["host", "h"]).groupBy("host", "mark", "chars").agg(F.sum("w").alias("removed_words"))
+    held = held.join(frequent, ["host", "h"])
+    removed = held.groupBy("host", "mark", "chars").agg(F.sum("w").alias("removed_words"))
+    columns = ["doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept"]
 
+    if cleaned:
+        # Figures hang on host and text alone, so one row of them serves all rows with that text.
+        read = read.dropDuplicates(["host", "mark", "chars"]).drop("doc_id", "source")
     out = read.drop("lines").join(removed, ["host", "mark", "chars"], "left")
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).select(
-        "doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed",
-        (~failed & (F.col("removed_words") <= F.col("n_words") * max_removed)).alias("kept"),
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("removed_words") <= F.col("n_words") * max_removed))
+    if not cleaned:
+        return out.select(*columns)
+    gone = held.groupBy("host", "mark", "chars").agg(F.collect_set("h").alias("gone"))
+    rows = docs.select(
+        "doc_id", "source", "text", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.length(F.coalesce("text", F.lit(""))).alias("chars"),
     )
+    found = out.join(gone, ["host", "mark", "chars"], "left")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone")))
+    return rows.join(found, ["host", "mark", "chars"]).select(*columns, text.alias("text"))
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
-    found = line_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = line_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), cleaned=False)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 

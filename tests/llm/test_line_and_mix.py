@@ -47,6 +47,17 @@ def test_frequent_lines_deplete(spark):
     assert all(got[400 + i] == (0, True) for i in range(30))
 
 
+def test_frequent_lines_are_taken_out_of_the_text(spark):
+    common = prose(9, 40)
+    rows = [(i, f"{common.upper()}  x\n\n{prose(i + 50, 70)}", "h") for i in range(8)]
+    rows += [(200, f"{prose(1, 9)}\n {common} x\n{prose(999, 70)}", "h"), (300, f"{common} x\n{prose(5, 30)}", "other"), (400, None, "h"), (401, "", None)] * 2
+    got = line_quality.line_quality(frame(spark, rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows)
+    want = {i: f"\n{prose(i + 50, 70)}" for i in range(8)} | {200: f"{prose(1, 9)}\n{prose(999, 70)}", 300: rows[9][1], 400: None, 401: ""}
+    assert all(r["text"] == want[r["doc_id"]] for r in got)
+    assert all(len(words(t)) - len(words(r["text"])) == r["removed_words"] for r in got for i, t, s in rows if i == r["doc_id"])
+
+
 def test_targets_fill_like_water(spark):
     sizes = {"a": 100, "b": 10, "c": 1000, "d": 0, "e": 5, "\U00010000": 40, None: 300}
     got = {r["source"]: r["target"] for r in mixing.targets(frame(spark, list(sizes.items()), "source string, source_size long")).collect()}
