@@ -1,6 +1,7 @@
 from .asof import touch_by_order_day
 from .joins import lookup_join
 from .ntile import exact_ntile
-from .stored import recompute, stored
+from .running import running_rank, running_sum
+from .stored import keep, recompute, stored
 
-__all__ = ["exact_ntile", "lookup_join", "recompute", "stored", "touch_by_order_day"]
+__all__ = ["exact_ntile", "keep", "lookup_join", "recompute", "running_rank", "running_sum", "stored", "touch_by_order_day"]
