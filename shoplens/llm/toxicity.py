@@ -23,7 +23,7 @@ from shoplens.llm.language_id import _folds
 # The letters that a character may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i",
 }
 # Logarithmic prices of the channel: a character read as a letter, dropped, or read as the end of a word; a repetition shortened.
 # Dropping a character also saves the price of a letter in the language model, about 2.5, and must not pay off by that alone.
@@ -32,11 +32,26 @@ BITS = 18
 
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[$@|+€£])(?:[ .*_-](?:[^\W_]|[$@|+€£])){2,}(?![^\s.,;:!?])")
 _LONG_RUN = re.compile(r"([^\W\d_])\1\1")
-_TAIL = re.compile(r"(([^\w\s])\2{2,}|[.,;:!?\"'()\[\]{}%&*#~`^/\\=_-])+$")
-_HEAD = re.compile(r"^[.,;:?\"'\[\]{}%&*#~`^/\\=_-]+")
+_AROUND = ".,;:?\"'()<>[]{}%&*#~`^/\\=_-"
 _WORD = re.compile(r"[^\W\d_]+")
+_JOINED = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*(?:[-./][^\W\d_]{2,})*")
 _CHUNK = re.compile(r"\S+")
 
+
+def _core(token: str) -> str:
+    """The token without punctuation around it; at its end, marks and signs that come three times and more are also left out."""
+    token = token.lstrip(_AROUND)
+    while True:
+        short = token.rstrip(_AROUND + "!")
+        last = short[-1:]
+        bare = short.rstrip(last) if last and not last.isalnum() else short
+        if len(short) - len(bare) > 2:
+            short = bare
+        if short == token:
+            return token
+        token = short
+
+
 # --- character language model ----------------------------------------------------------------------------------
 
 
@@ -179,11 +194,11 @@ class Restorer:
             return None
         if token in self.words:
             return self.words[token] or None
-        core = _HEAD.sub("", _TAIL.sub("", token))
+        core = _core(token)
         plain = core.isalpha() and not _LONG_RUN.search(core)
         known = not plain and any(c.isalpha() for c in core)
-        if known and not _LONG_RUN.search(core) and all(p.isalpha() and len(p) > 1 for p in re.split(r"[-'’./]", core)):
-            known = False  # joined words and abbreviations are no disguise
+        if known and _JOINED.fullmatch(core) and core[1:2] not in "-./" and not _LONG_RUN.search(core):
+            known = False  # words that are joined or shortened
         if len(self.words) > self.remembered:
             self.words.clear()
         self.words[token] = self.decode(core) if known else ""

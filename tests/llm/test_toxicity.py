@@ -89,6 +89,12 @@ def test_log_is_a_probability(restorer):
         assert 0.9 < total < 1.6  # unseen letters share what is left; cells may be shared
 
 
+def test_long_tokens_take_linear_time(restorer):
+    for token in ("." * 100_000 + "a", "a" + "$%" * 50_000 + "b", "!!!" * 30_000 + "x1y", "a1" * 20_000, "a-" * 50_000):
+        restorer.text(token)
+    assert toxicity._core("((so$$$!!!%%%...") == "so" and toxicity._core("a$$!") == "a$$" and toxicity._core("...") == ""
+
+
 def test_features():
     assert features("ab abcd abcdefgh") == {"abcd", "abcd*", "abcdefgh", "abcde*", "abcdef*"}
 
