@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import mix, ship, with_defaults
+from shoplens.llm.common import mix, ship, stored, with_defaults
 from shoplens.llm.language_id import _folds
 
 # The letters that a character may stand for.
@@ -31,6 +31,7 @@ AS_LETTER, DROPPED, AS_END, SHORTENED, JOINED = -1.0, -9.0, -4.0, -1.0, -0.5
 BITS = 18
 
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[$@|+€£])(?:[ .*_-](?:[^\W_]|[$@|+€£])){2,}(?![^\s.,;:!?])")
+_MAYBE_SPACED = re.compile(r" \S[ .*_-]\S[ .*_-]\S(?!\w)")
 _LONG_RUN = re.compile(r"([^\W\d_])\1\1")
 _AROUND = ".,;:?\"'()<>[]{}%&*#~`^/\\=_-"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -204,10 +205,17 @@ class Restorer:
         self.words[token] = self.decode(core) if known else ""
         return self.words[token] or None
 
+    def _unspaced(self, text: str | None) -> str:
+        low = (text or "").lower()
+        return _SPACED.sub(lambda m: self.decode(m.group()), low) if _MAYBE_SPACED.search(" " + low) else low
+
+    def tokens(self, text: str | None) -> set[str]:
+        """The different tokens of the whole text in lower case, letters spaced out put together."""
+        return set(self._unspaced(text).split())
+
     def text(self, text: str | None) -> str:
         """The whole text in lower case, disguised stretches restored."""
-        low = (text or "").lower()
-        low = _SPACED.sub(lambda m: self.decode(m.group()), low)
+        low = self._unspaced(text)
         found = {t: w for t in set(low.split()) if (w := self.word(t)) is not None}
         return _CHUNK.sub(lambda m: found.get(m.group(), m.group()), low) if found else low
 
@@ -234,10 +242,25 @@ class Model:
     def __post_init__(self):
         self.restorer = Restorer(self.letters)
         self.names = set(self.weights)
-
-    def found(self, text: str | None) -> tuple[str, list[str]]:
-        restored = self.restorer.text(text)
-        return restored, sorted(self.names & features(restored)) if self.names else []
+        self.harmless: set[str] = set()  # tokens known to hold no feature; saves work only
+        self.telling: dict[str, set[str]] = {}
+
+    def found(self, text: str | None, remembered: int = 400_000) -> list[str]:
+        """The features of the model that the restored text has, sorted."""
+        out: set[str] = set()
+        if not self.names:
+            return []
+        for token in self.restorer.tokens(text) - self.harmless:
+            if token not in self.telling:
+                got = self.names & features(self.restorer.word(token) or token)
+                if not got:
+                    self.harmless.add(token)
+                    continue
+                self.telling[token] = got
+            out |= self.telling[token]
+        if len(self.harmless) + len(self.telling) > remembered:
+            self.harmless, self.telling = set(), {}
+        return sorted(out)
 
     def score(self, names: list[str]) -> float:
         x = self.prior + sum(self.weights[n] for n in names)
@@ -251,11 +274,12 @@ class Model:
         self.__post_init__()
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, width: int, prior: float, rounds: int = 2000, sparse: float = 1e-4) -> tuple[float, np.ndarray]:
+def fit(rows: list[list[int]], labels: np.ndarray, width: int, prior: float, rounds: int = 2000, sparse: float = 1e-4, lowest: float = -5.0) -> tuple[float, np.ndarray]:
     """Logistic regression on sets of feature numbers by gradient steps of adapted length.
 
     Weights start at 0 and are never negative: no word excuses another. In the first half each step shrinks them by ``sparse``, so that
     of the words of one text and its copies only those that also mark other texts remain; these are fitted freely in the second half.
+    The log-odds of a text without a feature are at least ``lowest``, so that words which never stood alone do not need others.
     """
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     idx = np.array([i for r in rows for i in r], np.int64)
@@ -272,11 +296,11 @@ def fit(rows: list[list[int]], labels: np.ndarray, width: int, prior: float, rou
         seen_w += grad_w**2
         seen_b += grad_b**2
         w = np.maximum(w - 0.3 * grad_w / np.sqrt(seen_w), 0.0) * kept
-        b -= 0.3 * grad_b / np.sqrt(seen_b)
+        b = max(b - 0.3 * grad_b / np.sqrt(seen_b), lowest)
     return float(b), w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 50_000, most: int = 20_000, least_evidence: float = 15.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most: int = 20_000, least_evidence: float = 15.0) -> Model:
     """Learn letters from the texts of all rows of ``docs``, and toxicity from those that ``labels`` (doc_id, toxic) marks.
 
     Features are counted over all labelled rows, and those kept that are more frequent in toxic ones, with a log-likelihood ratio of at least
@@ -306,7 +330,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 50_000, most: int =
 
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for f in [*features(own.text(text.as_py())), ""]:  # the empty one counts the rows
+                tokens = own.tokens(text.as_py())
+                words = " ".join([own.word(t) or t for t in tokens])
+                for f in [*features(words), ""]:  # the empty one counts the rows
                     if f not in sums:
                         sums[f] = [0, 0]
                     sums[f][toxic] += 1
@@ -316,8 +342,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 50_000, most: int =
         yield flush()
 
     tall = labelled.select("toxic", "text").mapInArrow(count, "feature string, clean long, toxic long")
+    # What no toxic text has cannot be chosen. The row of the empty feature holds the totals.
     sums = tall.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # The row of the empty feature holds the totals; it sorts first among all that are asked for.
+    sums = stored(sums.where("toxic > 0 or feature = ''"), "features")
     seen = sums.where("feature = ''").first()
     clean, toxic = (seen["clean"], seen["toxic"]) if seen else (0, 0)
     prior = log((toxic + 0.5) / (clean + 1.5))
@@ -346,7 +373,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 50_000, most: int =
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, numbers = draft.value, ids.value
         for batch in batches:
-            got = [[numbers[f] for f in own.found(x.as_py())[1]] for x in batch.column(1)]
+            got = [[numbers[f] for f in own.found(x.as_py())] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], ["toxic", "found"])
 
     step = -(-(clean + toxic) // sample)
@@ -359,15 +386,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 50_000, most: int =
     return Model(letters, prior, {n: w for n, w in zip(names, weights.tolist()) if w > 0})
 
 
-def assess(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` plus ``restored`` (the whole text in lower case without disguises), ``evidence`` (features found) and ``score``.
+def assess(docs: DataFrame, model: Model, restored: bool = True) -> DataFrame:
+    """``docs`` plus ``score``, ``evidence`` (the features found) and ``restored`` (the whole text in lower case without disguises, if asked for).
 
     Reads only ``text``; one pass without a shuffle. A null text is restored as empty, and has the score of a text without evidence. Other
     columns pass through; input columns named as the results are replaced. Repeated rows get the same result.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop("restored", "evidence", "score")
+    docs = docs.drop("score", "evidence", "restored")
     shared = spark.sparkContext.broadcast(model)
     columns = docs.columns
 
@@ -376,14 +403,16 @@ def assess(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                got = [own.found(x.as_py()) for x in part.column(columns.index("text"))]
+                texts = part.column(columns.index("text"))
+                got = [own.found(x.as_py()) for x in texts]
+                more = [pa.array([own.restorer.text(x.as_py()) for x in texts], pa.string())] if restored else []
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.string())), pa.array([own.score(g[1]) for g in got])],
-                    [*columns, "restored", "evidence", "score"],
+                    [*part.columns, pa.array([own.score(g) for g in got], pa.float64()), pa.array(got, pa.list_(pa.string())), *more],
+                    [*columns, "score", "evidence", *["restored"] * restored],
                 )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, restored string, evidence array<string>, score double")
+    return docs.mapInArrow(run, f"{fields}, score double, evidence array<string>{', restored string' * restored}")
 
 
 def op12_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -392,5 +421,5 @@ def op12_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     labels = with_defaults(spark.read.parquet(f"{sf_dir}/labels.parquet"), doc_id="long", toxic="int")
     kept = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
-    scored = assess(docs, train(docs, labels.where(kept)))
+    scored = assess(docs, train(docs, labels.where(kept)), restored=False)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -136,9 +136,13 @@ def test_awkward_rows(spark):
     labels += [(900, 0, 1), (901, None, 1), (None, 1, 1), *labels[:5]]
     model, d = learned(spark, docs, labels)
     out = assess(d, model)
-    assert out.columns == ["doc_id", "text", "toxic", "lang", "restored", "evidence", "score"]
+    assert out.columns == ["doc_id", "text", "toxic", "lang", "score", "evidence", "restored"]
+    plain = {(x["doc_id"], x["text"]): (x["score"], x["evidence"]) for x in assess(d, model, restored=False).collect()}
     rows = out.collect()
     assert len(rows) == len(docs) and all(0 <= x["score"] <= 1 for x in rows)
+    for x in rows:
+        assert x["evidence"] == sorted(model.names & features(x["restored"]))
+        assert plain[x["doc_id"], x["text"]] == (x["score"], x["evidence"])
     by = {x["doc_id"]: x for x in rows}
     assert by[None]["score"] > 0.5 and by[903]["score"] > 0.5 and by[902]["score"] < 0.5
     assert by[900]["restored"] == by[901]["restored"] == "" and by[900]["score"] == by[901]["score"] < 0.5
