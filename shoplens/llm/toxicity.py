@@ -222,11 +222,11 @@ class Restorer:
 
 # --- classifier ------------------------------------------------------------------------------------------------
 
-STARTS = (4, 5, 6)
+STARTS = (4, 5)
 
 
 def features(restored: str) -> set[str]:
-    """Words of three letters and more, and their first four, five and six letters marked by ``*``."""
+    """Words of three letters and more, and their first four and five letters marked by ``*``."""
     words = {w for w in _WORD.findall(restored) if len(w) > 2}
     return words.union(*[{w[:k] + "*" for w in words if len(w) >= k} for k in STARTS])
 
@@ -300,7 +300,7 @@ def fit(rows: list[list[int]], labels: np.ndarray, width: int, prior: float, rou
     return float(b), w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most: int = 20_000, least_evidence: float = 15.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, most: int = 20_000, least_evidence: float = 15.0) -> Model:
     """Learn letters from the texts of all rows of ``docs``, and toxicity from those that ``labels`` (doc_id, toxic) marks.
 
     Features are counted over all labelled rows, and those kept that are more frequent in toxic ones, with a log-likelihood ratio of at least
@@ -313,7 +313,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most: int =
     letters = learn_letters(docs)
     marks = with_defaults(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = with_defaults(docs, doc_id="long", text="string").where("doc_id is not null")
-    labelled = texts.join(marks, "doc_id").select((F.col("toxic") > 0).cast("int").alias("toxic"), "text", F.xxhash64("doc_id", "text").alias("hash"))
+    # One plan at every size: texts and labels always meet by a shuffle, however few labels there are.
+    labelled = texts.join(marks.hint("merge"), "doc_id").select((F.col("toxic") > 0).cast("int").alias("toxic"), "text", F.xxhash64("doc_id", "text").alias("hash"))
     shared = spark.sparkContext.broadcast(Model(letters, 0.0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
