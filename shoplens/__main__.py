@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from .analysis import analyse
+from .analysis import ORDER_BY, analyse
 from .plans import stored
 from .sources import build_session, load_csv, load_parquet, write_extract
 
@@ -15,7 +15,7 @@ def main(argv: list[str]) -> int:
         return 2
     spark = build_session()
     load = load_parquet if argv[2:] == ["parquet"] else load_csv
-    write_extract(analyse(load(spark, argv[0]), stored(spark, f"{argv[1]}/_shared")), argv[1])
+    write_extract(analyse(load(spark, argv[0]), stored(spark, f"{argv[1]}/_shared")), argv[1], order=ORDER_BY)
     return 0
 
 

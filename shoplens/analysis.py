@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.expr import count_rows
+from .functions.expr import count_rows, line_revenue
 from .functions.rules import UNPAID_LABELS
 from .operators import attribution, cohorts, cubes, kpi, quality, segments, trends
 from .plans.stored import Share, recompute
@@ -41,6 +41,25 @@ DATE_COLUMNS = {
     "sessions": ["session_start"],
     "stores": [],
 }
+# Sort keys of the published results, where one is stated; a leading "-" sorts descending. The last key makes the order total.
+ORDER_BY = {
+    "null_campaign_by_acquisition_channel": ["acquisition_channel"],
+    "channel_efficiency": ["cost_per_click", "channel"],
+    "budget_variance": ["-overspend_amount", "campaign_id"],
+    "margin_by_category": ["-total_revenue", "category"],
+    "margin_by_brand": ["-total_revenue", "brand"],
+    "returns_by_reason": ["-total_refund", "return_reason"],
+    "return_rate_by_category": ["-total_refunds", "category"],
+    "top_products": ["category", "ranking", "product_id"],
+    "mom_growth": ["year", "month"],
+    "running_total": ["sales_channel", "year", "month"],
+    "rfm": ["customer_id"],
+    "channel_diversity_value": ["channel_count"],
+    "cohort_retention": ["cohort_year", "cohort_month"],
+    "attribution": ["order_id"],
+    "roas_first": ["-roas", "channel"],
+    "roas_last": ["-roas", "channel"],
+}
 
 
 def _stack(frames) -> DataFrame:
@@ -78,10 +97,11 @@ def data_quality(t: Tables, window_start: date = WINDOW_START) -> dict[str, Data
     )
     over_line = quality.refund_exceeds_line(t["returns"], t["order_items"], row_id=PRIMARY_KEYS["returns"])
     over_order = quality.refund_exceeds_order(t["returns"], t["orders"], row_id=PRIMARY_KEYS["returns"])
-    relations = {}
-    for child, keys, parent in [*FOREIGN_KEYS, ("returns", ["order_id"], "orders")]:
-        name = f"{child}.{'+'.join(keys)}->{parent}"
-        relations[name] = (child, quality.orphans(t[child], t[parent], keys, PRIMARY_KEYS[parent], name))
+    relations = [
+        quality.Relation(f"{child}.{'+'.join(keys)}->{parent}", child, keys, parent, PRIMARY_KEYS[parent][: len(keys)])
+        for child, keys, parent in [*FOREIGN_KEYS, ("returns", ["order_id"], "orders")]
+    ]
+    orphans = quality.orphan_report(t, relations)
     null_rules = [
         quality.null_rule_holds(
             t["customers"], "acquisition_campaign_id", F.col("acquisition_channel").isin(*UNPAID_LABELS)
@@ -91,41 +111,44 @@ def data_quality(t: Tables, window_start: date = WINDOW_START) -> dict[str, Data
     ]
     campaign_rules = {"ends_before_start": F.col("end_date") < F.col("start_date")}
 
-    def counted(rows: DataFrame, table: str, check: str) -> DataFrame:
-        n = t[table].agg(count_rows().alias("n")).withColumn("bad", rows.agg(count_rows()).scalar())
-        return quality.as_result(n, check, table, "n", "bad")
+    def holds(col: str, should_be_null):
+        return F.col(col).isNull() != F.coalesce(should_be_null, F.lit(False))
 
+    line = ["order_id", "product_id"]
+    lines = t["order_items"].select(*line, line_revenue().alias("item_line_value"))
+    nets = t["orders"].select("order_id", F.col("net_amount").alias("order_net_amount"))
+    checked = F.concat(F.lit("orphan "), F.col("relation")), F.split_part("relation", F.lit("."), F.lit(1))
     report = [
-        quality.violation_counts(
-            t["customers"], {"acquired_before_window": F.col("acquisition_date") < window_start}, "customers"
+        quality.relation_checks(
+            t["customers"], "customers", t["orders"], "orders", "customer_id",
+            parent_rules={
+                "acquired_before_window": F.col("acquisition_date") < window_start,
+                "null_rule acquisition_campaign_id": holds("acquisition_campaign_id", F.col("acquisition_channel").isin(*UNPAID_LABELS)),
+            },
+            child_rules={
+                "net_amount_off": F.round(reconciled_net(), 2) != F.col("net_amount"),
+                "null_rule store_id": holds("store_id", F.col("sales_channel") == "Online"),
+            },
+            outside=("order_before_signup", "order_date", "signup_date", None),
+        ),
+        quality.relation_checks(
+            t["campaigns"], "campaigns", t["marketing_touchpoints"], "marketing_touchpoints", "campaign_id", parent_rules=campaign_rules,
+            outside=("touch_outside_campaign", "timestamp", "start_date", "end_date"),
         ),
         quality.violation_counts(t["marketing_spend"], spend_rules(), "marketing_spend"),
-        quality.violation_counts(t["campaigns"], campaign_rules, "campaigns"),
-        quality.violation_counts(
-            t["orders"], {"net_amount_off": F.round(reconciled_net(), 2) != F.col("net_amount")}, "orders"
+        quality.violation_counts(t["sessions"], {"null_rule campaign_id": holds("campaign_id", F.col("source").isin(*UNPAID_SOURCES))}, "sessions"),
+        quality.table_checks(
+            t["returns"], "returns",
+            {"refund_exceeds_line": F.col("refund_amount") > F.col("item_line_value"), "refund_exceeds_order": F.col("refund_amount") > F.col("order_net_amount")},
+            [(lines, line), (nets, ["order_id"])],
         ),
-        counted(touches_outside, "marketing_touchpoints", "touch_outside_campaign"),
-        counted(before_signup, "orders", "order_before_signup"),
-        counted(over_line, "returns", "refund_exceeds_line"),
-        counted(over_order, "returns", "refund_exceeds_order"),
-        *[
-            quality.as_result(found, f"orphan {name}", child, "n_rows", "n_orphan")
-            for name, (child, found) in relations.items()
-        ],
-        *[
-            quality.as_result(rule, f"null_rule {col}", table, "n_rows", "n_failed")
-            for rule, col, table in zip(
-                null_rules,
-                ["acquisition_campaign_id", "store_id", "campaign_id"],
-                ["customers", "orders", "sessions"],
-            )
-        ],
+        orphans.select(checked[0].alias("check_name"), checked[1].alias("table_name"), F.col("n_rows").alias("n_checked"), F.col("n_orphan").alias("n_failed")),
     ]
     return {
         "profile": quality.profile_all({n: (t[n], cols) for n, cols in DATE_COLUMNS.items()}),
         "touches_outside_campaign": touches_outside,
         "acquired_before_window": quality.before_date(t["customers"], "acquisition_date", window_start),
-        "orphans": _stack(found for _, found in relations.values()),
+        "orphans": orphans,
         "duplicate_keys": _stack(
             quality.duplicate_keys(t[n], keys).select(
                 F.lit(n).alias("table_name"), F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("<null>")) for k in keys]).alias("key"), "n_rows"

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators import attribution, cohorts, cubes, kpi, quality, segments, trends
-from .plans import exact_ntile
-from .sources.testdata import EXCLUDED, Retail
+from .analysis import ORDER_BY
+from .plans import exact_ntile, with_position
+from .sources.testdata import EXCLUDED, Retail, campaign
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -253,22 +254,25 @@ _RELATIONS = [
     views="ord cust item prod ret touch camp",
 )
 def _(t: Retail):
-    tables = {
-        "ord": t.orders,
-        "cust": t.customers,
-        "item": t.order_items,
-        "prod": t.products,
-        "ret": t.returns,
-        "touch": t.touchpoints,
-        "camp": t.campaigns,
-    }
-    checks = [
-        quality.orphans(tables[child], tables[parent], [ck], [pk], name) for name, child, parent, ck, pk in _RELATIONS
-    ]
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
+    """Over the given tables, as several retail tables are parts of one of them, which is then read once."""
+    tables = {n: t.raw(n) for n in ("orders", "lineitem", "part", "customer")}
+    tables["events"] = t.raw("events").select("event_type", "user_id", campaign().alias("campaign_id"))
+    tables["customer"] = tables["customer"].withColumn("campaign_id", F.when(F.pmod("c_custkey", F.lit(9)) < 7, F.pmod("c_custkey", F.lit(100))))
+    touch, back = "event_type <> 'purchase'", "l_returnflag = 'R'"
+    R = quality.Relation
+    return quality.orphan_report(
+        tables,
+        [
+            R("orders->customers", "orders", ["o_custkey"], "customer", ["c_custkey"]),
+            R("order_items->orders", "lineitem", ["l_orderkey"], "orders", ["o_orderkey"]),
+            R("order_items->products", "lineitem", ["l_partkey"], "part", ["p_partkey"]),
+            R("returns->orders", "lineitem", ["l_orderkey"], "orders", ["o_orderkey"], back),
+            R("touchpoints->campaigns", "events", ["campaign_id"], "part", ["p_partkey"], touch),
+            R("customers->campaigns", "customer", ["campaign_id"], "part", ["p_partkey"]),
+            R("touchpoints->customers", "events", ["user_id"], "customer", ["c_custkey"], touch),
+            R("orders->order_items", "orders", ["o_orderkey"], "lineitem", ["l_orderkey"]),
+        ],
+    )
 
 
 @query(
@@ -469,56 +473,32 @@ def _(t: Retail):
     views="cust ord spend camp ret line touch",
 )
 def _(t: Retail):
-    def counted(rows: DataFrame, of: DataFrame, check: str, table: str) -> DataFrame:
-        n = of.agg(F.count(F.lit(1)).alias("n")).withColumn("bad", rows.agg(F.count(F.lit(1))).scalar())
-        return quality.as_result(n, check, table, "n", "bad")
-
-    spend, customers = t.spend, t.customers
+    unpaid = F.col("acquisition_channel").isin("Organic", "Direct")
     return quality.quality_report(
         [
-            quality.violation_counts(
-                customers, {"acquired_before_window": F.col("acquisition_date") < date(2024, 1, 5)}, "customers"
+            quality.relation_checks(
+                t.customers, "customers", t.orders, "orders", "customer_id", orphan="order_has_customer",
+                parent_rules={
+                    "acquired_before_window": F.col("acquisition_date") < date(2024, 1, 5),
+                    "organic_without_campaign": F.col("acquisition_campaign_id").isNull() != unpaid,
+                },
             ),
-            quality.as_result(
-                quality.orphans(t.orders, customers, ["customer_id"]),
-                "order_has_customer",
-                "orders",
-                "n_rows",
-                "n_orphan",
+            quality.relation_checks(
+                t.campaigns, "campaigns", t.touchpoints, "touchpoints", "campaign_id",
+                parent_rules={"ends_before_start": F.col("end_date") < F.col("start_date")},
+                outside=("touch_outside_campaign", "timestamp", "start_date", "end_date"),
             ),
             quality.violation_counts(
-                spend,
+                t.spend,
                 {
                     "clicks_above_impressions": F.col("clicks") > F.col("impressions"),
                     "negative_spend": F.col("spend") < 0,
                 },
                 "marketing_spend",
             ),
-            quality.violation_counts(
-                t.campaigns, {"ends_before_start": F.col("end_date") < F.col("start_date")}, "campaigns"
-            ),
-            counted(
-                quality.refund_exceeds_line(t.returns, t.item_lines, line_value="line_value"),
-                t.returns,
-                "refund_exceeds_line",
-                "returns",
-            ),
-            quality.as_result(
-                quality.null_rule_holds(
-                    customers, "acquisition_campaign_id", F.col("acquisition_channel").isin("Organic", "Direct")
-                ),
-                "organic_without_campaign",
-                "customers",
-                "n_rows",
-                "n_failed",
-            ),
-            counted(
-                quality.outside_parent_window(
-                    t.touchpoints, t.campaigns, "campaign_id", "timestamp", "start_date", "end_date", ["touchpoint_id"]
-                ),
-                t.touchpoints,
-                "touch_outside_campaign",
-                "touchpoints",
+            quality.table_checks(
+                t.returns, "returns", {"refund_exceeds_line": F.col("refund_amount") > F.col("line_value")},
+                [(t.item_lines, ["order_id", "product_id"])],
             ),
         ]
     )
@@ -1384,3 +1364,53 @@ def _(t: Retail):
     return cubes.highest(
         kpi.margin_by(t.order_items, t.products, revenue="line_value"), "profit_margin_pct", 2, "category"
     ).select("category", "profit_margin_pct")
+
+
+# ------------------------------------------------------------- order and rows
+
+
+def _ordered(name: str, result: str, keys: list[str]) -> None:
+    """A query whose rows carry their place in the published order, against the same order in SQL."""
+    QUERIES[name] = lambda spark, sf_dir: with_position(QUERIES[result](spark, sf_dir), keys)
+    by = ", ".join(f"{k[1:]} DESC NULLS LAST" if k.startswith("-") else f"{k} NULLS FIRST" for k in keys)
+    ORACLES[name] = f"SELECT *, row_number() OVER (ORDER BY {by}) AS position FROM ({ORACLES[result]})"
+
+
+_ordered("ordered_budget_variance", "budget_variance", ORDER_BY["budget_variance"])
+_ordered("ordered_top_products", "top_k_per_group", ORDER_BY["top_products"])
+_ordered("ordered_running_total", "running_total", ORDER_BY["running_total"])
+_ordered("ordered_attribution", "attribute", ORDER_BY["attribution"])
+_ordered("ordered_roas", "roas_first", ORDER_BY["roas_first"])
+
+
+@query(
+    "running_order_revenue",
+    f"""SELECT order_id, sales_channel, {_S("order_date")} AS order_date,
+               {_D("sum(net_amount) OVER (PARTITION BY sales_channel ORDER BY order_date, order_id)")} AS running_total
+        FROM ord WHERE order_status <> 'P'""",
+    views="ord",
+)
+def _(t: Retail):
+    orders = t.orders.where(~F.col("order_status").isin(*EXCLUDED)).select("order_id", "sales_channel", "order_date", "net_amount")
+    return trends.running_total_rows(orders, ["sales_channel"], ["order_date", "order_id"], "net_amount").drop("net_amount")
+
+
+@query(
+    "running_line_revenue",
+    f"""SELECT l_orderkey AS order_id, l_linenumber AS line, {_D("sum(CAST(l_extendedprice AS DECIMAL(12,2))) OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice ROWS UNBOUNDED PRECEDING)")} AS running_total
+        FROM lineitem""",
+)
+def _(t: Retail):
+    lines = t.raw("lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_extendedprice").cast("decimal(12,2)").alias("price"))
+    return trends.running_total_rows(lines, [], ["order_id", "line", "price"], "price").drop("price")
+
+
+@query(
+    "units_by_product",
+    f"""SELECT product_id, sum(quantity)::BIGINT AS units,
+               {_I("rank() OVER (ORDER BY sum(quantity) DESC)")} AS units_rank
+        FROM item JOIN prod USING (product_id) GROUP BY product_id""",
+    views="item prod",
+)
+def _(t: Retail):
+    return kpi.units_and_asp(t.order_items, t.products, "product_id", "list_value", "line_value", wide=True).select("product_id", "units", "units_rank")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.expr import as_col, count_rows, line_revenue, money, ratio
 from ..functions.rules import CANCELLED, recognized
 from ..plans.joins import lookup_join
+from ..plans.running import running_rank
+from ..plans.stored import keep
 
 
 def revenue_by(
@@ -156,10 +158,12 @@ def units_and_asp(
     dim: str = "category",
     price: Column | str = "unit_price",
     revenue: Column | str | None = None,
+    wide: bool = False,
 ) -> DataFrame:
     """Units sold with their rank, mean price per line and revenue per unit.
 
-    The rank orders one row per value of ``dim``, which should be a small domain.
+    The rank orders one row per value of ``dim`` in one task, which is right for categories. ``wide`` ranks a domain of any size, such as
+    all products, by counts of ranges (:func:`plans.running.running_rank`), and reads the sums from a table that it writes.
     """
     value = line_revenue() if revenue is None else as_col(revenue)
     sums = ("units", "revenue", "price_sum", "price_n")
@@ -169,8 +173,8 @@ def units_and_asp(
         F.sum(as_col(price)).alias("price_sum"),
         F.count(as_col(price)).alias("price_n"),
     )
-    return (
-        per_product.join(products.select("product_id", dim), "product_id")
+    per_value = (
+        per_product.join(products.select(*dict.fromkeys(["product_id", dim])), "product_id")
         .groupBy(dim)
         .agg(*[F.sum(c).alias(c) for c in sums])
         .select(
@@ -178,9 +182,11 @@ def units_and_asp(
             "units",
             ratio("price_sum", "price_n", 2).alias("avg_line_price"),
             ratio("revenue", "units", 2).alias("revenue_per_unit"),
-            F.rank().over(Window.orderBy(F.desc("units"))).alias("units_rank"),
         )
     )
+    if wide:
+        return running_rank(keep(per_value, "units"), "units", "units_rank")
+    return per_value.withColumn("units_rank", F.rank().over(Window.orderBy(F.desc("units"))))
 
 
 def share_of_total(df: DataFrame, dim: str, measure: str) -> DataFrame:

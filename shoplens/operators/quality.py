@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.expr import as_col, count_rows, line_revenue, padding_chars, ratio
 from ..plans.joins import lookup_join
@@ -106,6 +108,78 @@ def orphans(
     )
 
 
+class Relation(NamedTuple):
+    """Rows of ``child`` whose ``keys`` must be ``parent_keys`` of a row of ``parent``; ``where`` restricts the child, ``parent_where`` the parent."""
+
+    name: str
+    child: str
+    keys: Sequence[str]
+    parent: str
+    parent_keys: Sequence[str]
+    where: str | None = None
+    parent_where: str | None = None
+
+
+def orphan_report(tables: Mapping[str, DataFrame], relations: Sequence[Relation]) -> DataFrame:
+    """:func:`orphans` of many relations in one pass: each table is read once, and one shuffle serves all relations.
+
+    Keys that relations compare belong to one key space. Each row of a table becomes one row for each of its key columns, which marks the
+    sides (table, keys, condition) that it is on. They are counted per space and key, combined on the map side, so a key
+    that many rows hold is one row; an orphan's key has rows on the child's side and none on the parent's.
+    """
+    sides: list[tuple] = []
+    space: dict[tuple, int] = {}
+    for r in relations:
+        ends = [(r.child, tuple(r.keys), r.where), (r.parent, tuple(r.parent_keys), r.parent_where)]
+        for e in ends:
+            if e not in space:
+                sides.append(e)
+                # Sides on the same columns share their rows, so they share a space as well.
+                space[e] = next((space[s] for s in sides[:-1] if s[:2] == e[:2]), len(sides))
+        one, other = space[ends[0]], space[ends[1]]
+        space = {s: one if k == other else k for s, k in space.items()}
+    slot = {s: [t for t in sides if space[t] == space[s]].index(s) for s in sides}
+    slots = 1 + max(slot.values())
+
+    types = {c.name: c.dataType for t in tables for c in tables[t].schema if any(c.name in s[1] and s[0] == t for s in sides)}
+    whole = all(len(s[1]) == 1 for s in sides) and all(isinstance(t, IntegralType) for t in types.values())
+
+    def key(columns: tuple) -> Column:
+        if whole:
+            return F.col(columns[0]).cast("bigint")
+        if len(columns) == 1:
+            return F.col(columns[0]).cast("string")
+        parts = [F.col(c).cast("string") for c in columns]  # concat is NULL if a part is; lengths keep ("a", "bc") from ("ab", "c")
+        return F.concat(*[x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)])
+
+    stacked = []
+    for t in dict.fromkeys(s[0] for s in sides):
+        entries = []
+        for columns in dict.fromkeys(s[1] for s in sides if s[0] == t):
+            own = [s for s in sides if s[:2] == (t, columns)]
+            marks = []
+            for i in range(slots):
+                side = next((s for s in own if slot[s] == i), None)
+                marks.append(F.lit(0) if side is None else F.lit(1) if side[2] is None else F.when(F.expr(side[2]), 1).otherwise(0))
+            entries.append([F.lit(space[own[0]]), key(columns), *[m.cast("int") for m in marks]])
+        names = ["space", "key", *[f"s{i}" for i in range(slots)]]
+        if len(entries) == 1:
+            stacked.append(tables[t].select(*[c.alias(n) for c, n in zip(entries[0], names)]))
+        else:
+            stacked.append(tables[t].select(F.stack(F.lit(len(entries)), *[c for e in entries for c in e])).toDF(*names))
+    per_key = reduce(DataFrame.unionByName, stacked).groupBy("space", "key").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(slots)])
+
+    sums, rows = [], []
+    for i, r in enumerate(relations):
+        child = (r.child, tuple(r.keys), r.where)
+        n, here = F.col(f"s{slot[child]}"), F.col("space") == space[child]
+        known = F.col(f"s{slot[r.parent, tuple(r.parent_keys), r.parent_where]}") > 0
+        for what, rule in (("rows", here), ("null_key", here & F.col("key").isNull()), ("orphan", here & F.col("key").isNotNull() & ~known)):
+            sums.append(F.coalesce(F.sum(F.when(rule, n)), F.lit(0)).alias(f"{what}_{i}"))
+        rows.append(F.struct(F.lit(r.name).alias("relation"), *[F.col(f"{w}_{i}").alias(f"n_{w}") for w in ("rows", "null_key", "orphan")]))
+    return _tall(per_key.agg(*sums), rows)
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys held by more than one row."""
     return df.groupBy(*keys).agg(count_rows().alias("n_rows")).where("n_rows > 1")
@@ -275,6 +349,70 @@ def as_result(df: DataFrame, check: str, table: str, checked: str, failed: str)
     return _tall(df, [_result(check, table, F.col(checked), F.col(failed))])
 
 
+def table_checks(
+    df: DataFrame, table: str, rules: Mapping[str, Column], lookups: Sequence[tuple[DataFrame, Sequence[str]]] = ()
+) -> DataFrame:
+    """Checked and failing rows per rule, in one pass over ``df``; rules may also use the columns of ``lookups`` (table, keys).
+
+    A lookup holds one row per key. Rows without a match are checked too, with NULLs, so that the pass counts all rows.
+    """
+    for lookup, keys in lookups:
+        df = lookup_join(df, lookup, keys, "left")
+    return violation_counts(df, rules, table)
+
+
+def relation_checks(
+    parent: DataFrame,
+    parent_table: str,
+    child: DataFrame,
+    child_table: str,
+    key: str,
+    parent_rules: Mapping[str, Column] | None = None,
+    child_rules: Mapping[str, Column] | None = None,
+    orphan: str | None = None,
+    outside: tuple[str, str, str | None, str | None] | None = None,
+) -> DataFrame:
+    """Rules on a parent, rules on its child and checks between them, with one scan of each.
+
+    ``orphan`` names the check that child keys exist; ``outside`` is (check, child time, parent's first day, parent's last day), as in
+    :func:`outside_parent_window`. The child is summed per key first, for ``outside`` with its rows per day, at most two entries a day.
+    Both sides of the full join then hold one row per key (``key`` must be unique in ``parent``), so each parent row is counted once.
+    """
+    parent_rules, child_rules = parent_rules or {}, child_rules or {}
+    flags = {f"_c{i}": rule for i, rule in enumerate(child_rules.values())}
+    sums = [count_rows().alias("_n"), *[F.count_if(rule).alias(f) for f, rule in flags.items()]]
+    if outside:
+        day = F.to_date(outside[1])
+        late = F.col(outside[1]).cast("timestamp_ntz") > day.cast("timestamp_ntz")
+        per_key = child.groupBy(F.col(key).alias("_key"), day.alias("_day"), late.alias("_late")).agg(*sums).groupBy("_key").agg(
+            *[F.sum(c).alias(c) for c in ("_n", *flags)], F.collect_list(F.struct("_day", "_late", F.col("_n").alias("n"))).alias("_days")
+        )
+    else:
+        per_key = child.groupBy(F.col(key).alias("_key")).agg(*sums)
+    rows = parent.withColumn("_known", F.lit(True)).join(per_key, F.col(key) == F.col("_key"), "full_outer")
+
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    aggs = {"p": F.count("_known"), "c": total("_n")}
+    results = [(name, parent_table, "p", f"p{i}") for i, name in enumerate(parent_rules)]
+    aggs |= {f"p{i}": F.count_if(F.col("_known") & rule) for i, rule in enumerate(parent_rules.values())}
+    results += [(name, child_table, "c", f) for name, f in zip(child_rules, flags)]
+    aggs |= {f: total(f) for f in flags}
+    if orphan:
+        aggs["orphans"] = total(F.when(F.col("_known").isNull() & F.col("_key").isNotNull(), F.col("_n")))
+        results.append((orphan, child_table, "c", "orphans"))
+    if outside:
+        name, _, start, end = outside
+
+        def bad(d: Column) -> Column:
+            early = d["_day"] < F.col(start) if start else F.lit(False)
+            late = (d["_day"] > F.col(end)) | ((d["_day"] == F.col(end)) & d["_late"]) if end else F.lit(False)
+            return F.coalesce(early, F.lit(False)) | F.coalesce(late, F.lit(False))
+
+        aggs["outside"] = total(F.aggregate(F.filter("_days", bad), F.lit(0).cast("bigint"), lambda n, d: n + d["n"]))
+        results.append((name, child_table, "c", "outside"))
+    return _tall(rows.agg(*[c.alias(f"_agg_{n}") for n, c in aggs.items()]), [_result(check, table, F.col(f"_agg_{n}"), F.col(f"_agg_{bad}")) for check, table, n, bad in results])
+
+
 def quality_report(results: Sequence[DataFrame]) -> DataFrame:
     """Stack check results and add the failure rate and a verdict."""
     stacked = reduce(DataFrame.unionByName, results)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import count_rows, ratio
 from ..functions.rules import CANCELLED, recognized
+from ..plans.running import running_sum
 from .kpi import sales_per_product
 
 
@@ -99,6 +100,16 @@ def running_total(
     return df.withColumn(out, F.sum(measure).over(w))
 
 
+def running_total_rows(
+    df: DataFrame, partition: Sequence[str], order: Sequence[str], measure: str, out: str = "running_total"
+) -> DataFrame:
+    """:func:`running_total` of a table of any size, also where one partition holds most rows or there is none.
+
+    See :func:`plans.running.running_sum`: sorted ranges are written when this is called.
+    """
+    return running_sum(df, partition, order, measure, out)
+
+
 def funnel(
     sessions: DataFrame,
     touches: DataFrame,

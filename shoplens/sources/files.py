@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.order import in_order
 from .schemas import SCHEMAS
 
 
@@ -59,9 +60,18 @@ def write_parquet(
 
 
 def write_extract(
-    frames: Mapping[str, DataFrame], directory: str, fmt: str = "parquet", mode: str = "errorifexists"
+    frames: Mapping[str, DataFrame],
+    directory: str,
+    fmt: str = "parquet",
+    mode: str = "errorifexists",
+    order: Mapping[str, Sequence[str]] | None = None,
 ) -> None:
-    """Write result frames (such as the dashboard cubes) for a BI tool, as ``parquet``, ``json`` or ``csv``."""
+    """Write result frames (such as the dashboard cubes) for a BI tool, as ``parquet``, ``json`` or ``csv``.
+
+    ``order`` names sort keys per result, descending ones with a leading ``-``. Such a result is sorted in ranges:
+    its part files, read by name, are in order.
+    """
     for name, df in frames.items():
         options = {"header": "true"} if fmt == "csv" else {}
-        df.write.mode(mode).format(fmt).options(**options).save(f"{directory}/{name}")
+        keys = (order or {}).get(name)
+        (in_order(df, keys) if keys else df).write.mode(mode).format(fmt).options(**options).save(f"{directory}/{name}")

@@ -38,7 +38,7 @@ def _channel(n: Column) -> Column:
     return F.concat(F.lit("ch"), n.cast("string"))
 
 
-def _campaign() -> Column:
+def campaign() -> Column:
     return F.get_json_object("props", "$.k").cast("bigint")
 
 
@@ -155,9 +155,9 @@ class Retail:
             .select(
                 F.col("event_id").alias("touchpoint_id"),
                 F.col("user_id").alias("customer_id"),
-                _campaign().alias("campaign_id"),
+                campaign().alias("campaign_id"),
                 F.col("ts").alias("timestamp"),
-                _channel(F.pmod(_campaign(), F.lit(7))).alias("channel"),
+                _channel(F.pmod(campaign(), F.lit(7))).alias("channel"),
                 F.col("event_type").alias("interaction_type"),
             )
         )
@@ -171,7 +171,7 @@ class Retail:
                 F.col("event_id").alias("session_id"),
                 F.col("user_id").alias("customer_id"),
                 F.col("ts").alias("session_start"),
-                F.concat(F.lit("device"), F.pmod(_campaign(), F.lit(3)).cast("string")).alias("device"),
+                F.concat(F.lit("device"), F.pmod(campaign(), F.lit(3)).cast("string")).alias("device"),
             )
         )
 
@@ -195,7 +195,7 @@ class Retail:
         kind = F.col("event_type")
         return (
             self.raw("events")
-            .groupBy(F.to_date("ts").alias("date"), _campaign().alias("campaign_id"))
+            .groupBy(F.to_date("ts").alias("date"), campaign().alias("campaign_id"))
             .agg(
                 F.coalesce(F.sum(F.when(kind == "view", _dec("value"))), F.lit(Decimal("0.00"))).alias("spend"),
                 F.count_if(kind == "view").alias("impressions"),

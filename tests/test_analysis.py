@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from shoplens import __main__ as cli
-from shoplens.analysis import analyse
+from shoplens.analysis import ORDER_BY, analyse
 from shoplens.plans import stored
 from shoplens.sources import SCHEMAS, load_csv
 
@@ -113,6 +113,24 @@ def test_results_agree_with_plain_sql(spark, folder):
     assert got["rfm"].count() == con.execute("SELECT count(DISTINCT customer_id) FROM orders WHERE order_status <> 'Cancelled'").fetchone()[0]
 
 
+def test_order_keys_are_columns(spark, folder):
+    results = analyse(load_csv(spark, str(folder)))
+    for name, keys in ORDER_BY.items():
+        assert {k.lstrip("-") for k in keys} <= set(results[name].columns), name
+
+
+def test_report_equals_its_checks(spark, folder):
+    got = analyse(load_csv(spark, str(folder)))
+    report = {r["check_name"]: (r["n_checked"], r["n_failed"]) for r in got["quality_report"].collect()}
+    for check, rows in {"touch_outside_campaign": "touches_outside_campaign", "order_before_signup": "orders_before_signup", "refund_exceeds_line": "refund_exceeds_line", "refund_exceeds_order": "refund_exceeds_order"}.items():
+        assert report[check][1] == got[rows].count()
+    for r in got["null_rules"].collect():
+        assert report[f"null_rule {r['column_name']}"] == (r["n_rows"], r["n_failed"])
+    for r in got["orphans"].collect():
+        assert report[f"orphan {r['relation']}"] == (r["n_rows"], r["n_orphan"])
+    assert report["net_amount_off"] == tuple(got["net_amount_reconciliation"].first())[:2]
+
+
 def test_results_are_consistent_with_each_other(spark, folder):
     got = analyse(load_csv(spark, str(folder)))
     for r in got["funnel"].collect():
