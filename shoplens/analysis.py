@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.expr import count_rows, line_revenue
 from .functions.rules import UNPAID_LABELS
-from .operators import attribution, cohorts, cubes, kpi, quality, segments, trends
+from .operators import attribution, cohorts, cubes, kpi, quality, segments, state, trends
 from .plans.stored import Share, recompute
 from .sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS
 
@@ -178,15 +178,24 @@ def data_quality(t: Tables, window_start: date = WINDOW_START) -> dict[str, Data
     }
 
 
-def core_kpis(t: Tables) -> dict[str, DataFrame]:
+def sums_of(t: Tables, share: Share = recompute) -> dict[str, DataFrame]:
+    """Orders summed per month, channel and status, and order lines per product: what most results need of these facts."""
+    return {
+        "orders": share(state.order_sums(t["orders"]), "order_sums"),
+        "order_items": share(kpi.product_sums(t["order_items"]), "product_sums"),
+    }
+
+
+def core_kpis(t: Tables, sums: Tables | None = None) -> dict[str, DataFrame]:
     """Level 2: revenue, channel efficiency, budgets, margins and returns."""
-    items, products, spend, campaigns = t["order_items"], t["products"], t["marketing_spend"], t["campaigns"]
+    products, spend, campaigns = t["products"], t["marketing_spend"], t["campaigns"]
+    orders, items = (sums or sums_of(t)).values()
     variance = kpi.budget_variance(spend, campaigns)
     by_category = kpi.margin_by(items, products, "category")
-    rates = kpi.return_rate_by(items, products, t["returns"], "category")
+    rates = kpi.return_rate_by(t["order_items"], products, t["returns"], "category")
     return {
-        "revenue_by_sales_channel": kpi.revenue_by(t["orders"]),
-        "aov_shift": kpi.aov_shift(t["orders"]),
+        "revenue_by_sales_channel": kpi.revenue_by(orders),
+        "aov_shift": kpi.aov_shift(orders),
         "channel_efficiency": kpi.channel_efficiency(spend, campaigns),
         "budget_variance": variance,
         "overspend_rate": kpi.overspend_rate(variance),
@@ -197,38 +206,40 @@ def core_kpis(t: Tables) -> dict[str, DataFrame]:
         "returns_by_reason": kpi.returns_by(t["returns"], "return_reason"),
         "return_rate_by_category": rates,
         "refund_share": kpi.refund_share(rates),
-        "headline": kpi.headline(t["orders"], spend),
+        "headline": kpi.headline(orders, spend),
         "cpa_by_channel": kpi.cpa_by_channel(spend, campaigns, t["customers"]),
     }
 
 
-def trends_and_behaviour(t: Tables) -> dict[str, DataFrame]:
+def trends_and_behaviour(t: Tables, sums: Tables | None = None) -> dict[str, DataFrame]:
     """Level 3: rankings, growth, running totals, funnel and purchase gaps."""
     orders, touches = t["orders"], t["marketing_touchpoints"]
-    top = trends.top_k_per_group(t["order_items"], t["products"], "category", 3, carry=["brand"])
+    monthly, sold = (sums or sums_of(t)).values()
+    top = trends.top_k_per_group(sold, t["products"], "category", 3, carry=["brand"])
     signups = (
         t["customers"]
         .where("signup_date IS NOT NULL")
         .groupBy(F.year("signup_date").alias("year"), F.month("signup_date").alias("month"))
         .agg(count_rows().alias("customers"))
     )
-    by_channel = trends.monthly_revenue(orders, ["sales_channel"])
+    by_channel = trends.monthly_revenue(monthly, ["sales_channel"])
     return {
         "top_products": top,
         "leader_ratio": trends.leader_ratio(top),
         "brand_concentration": trends.top_k_brand_concentration(top),
-        "mom_growth": trends.mom_growth(orders),
+        "mom_growth": trends.mom_growth(monthly),
         "running_total": trends.running_total(by_channel, ["sales_channel"], ["year", "month"], "revenue"),
         "funnel": trends.funnel(t["sessions"], touches, orders),
         "coverage": trends.coverage(t["customers"], touches),
         "repeat_gap": trends.repeat_gap(orders),
         "winback": trends.winback_flag(orders),
-        "growth_ratio": trends.growth_ratio(trends.monthly_revenue(orders), signups),
+        "growth_ratio": trends.growth_ratio(trends.monthly_revenue(monthly), signups),
     }
 
 
-def advanced(t: Tables, share: Share = recompute) -> dict[str, DataFrame]:
+def advanced(t: Tables, share: Share = recompute, sums: Tables | None = None) -> dict[str, DataFrame]:
     """Level 4: segments, cohorts, label accuracy, attribution, ROAS and the dashboard's cubes."""
+    monthly = (sums or sums_of(t, share))["orders"]
     orders, touches = t["orders"], t["marketing_touchpoints"]
     spend, campaigns = t["marketing_spend"], t["campaigns"]
     last_day = orders.agg(F.max("order_date")).scalar()
@@ -258,10 +269,10 @@ def advanced(t: Tables, share: Share = recompute) -> dict[str, DataFrame]:
         "spend_vs_roas": attribution.spend_vs_roas(compared),
         "cube_attribution": cubes.cube_attribution(days),
         "cube_spend": cubes.cube_spend(spend, campaigns),
-        "cube_monthly": cubes.cube_monthly(orders),
+        "cube_monthly": cubes.cube_monthly(monthly),
         "cube_category": cubes.cube_category(t["order_items"], orders, t["products"], t["returns"]),
         "cube_cohort": cubes.cube_cohort(retention),
-        "cube_slices": cubes.cube_slices(orders, spend),
+        "cube_slices": cubes.cube_slices(monthly, spend),
     }
 
 
@@ -271,4 +282,5 @@ def analyse(t: Tables, share: Share = recompute) -> dict[str, DataFrame]:
     ``share`` decides what happens to intermediates several results need: kept
     lazy by default, or written once (see :func:`plans.stored`).
     """
-    return {**data_quality(t), **core_kpis(t), **trends_and_behaviour(t), **advanced(t, share)}
+    sums = sums_of(t, share)
+    return {**data_quality(t), **core_kpis(t, sums), **trends_and_behaviour(t, sums), **advanced(t, share, sums)}

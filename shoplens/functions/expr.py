@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,13 @@ def padding_chars(c: Column | str) -> Column:
 
 def count_rows() -> Column:
     return F.count(F.lit(1))
+
+
+def rows_of(df: DataFrame) -> Column:
+    """Number of rows; of monthly sums (see :mod:`operators.state`) the number of facts that they stand for."""
+    return F.sum("_rows") if "_rows" in df.columns else count_rows()
+
+
+def values_of(df: DataFrame, c: str) -> Column:
+    """Number of rows with a value, or of facts with one where ``df`` holds monthly sums; NULL sums count none."""
+    return F.sum("_values") if "_values" in df.columns else F.count(c)

@@ -77,6 +77,19 @@ def cube_category(
     the product. Lines and returns are summed per (order, product) in one aggregation, so that a line
     sold or returned many times is one row, and meet the orders in one join.
     """
+    per_product = line_sums(items, orders, returns, F.year("order_date").alias("year"), excluded, revenue)
+    return category_cube(per_product, products)
+
+
+def line_sums(
+    items: DataFrame,
+    orders: DataFrame,
+    returns: DataFrame,
+    period: Column,
+    excluded: Sequence[str] | None = CANCELLED,
+    revenue: Column | str | None = None,
+) -> DataFrame:
+    """Revenue, units and returns per period of the order date, sales channel and product."""
     value = line_revenue() if revenue is None else as_col(revenue)
     line = ["order_id", "product_id"]
     lines = (
@@ -88,17 +101,23 @@ def cube_category(
         .drop("_line")
     )
     earns = ~F.col("order_status").isin(*excluded) if excluded else F.lit(True)
-    heads = orders.select("order_id", F.year("order_date").alias("year"), "sales_channel", earns.alias("_earns"))
-    per_product = (
+    heads = orders.select("order_id", period, "sales_channel", earns.alias("_earns"))
+    return (
         lookup_join(lines, heads, ["order_id"])
-        .groupBy("year", "sales_channel", "product_id")
+        .groupBy(heads.columns[1], "sales_channel", "product_id")
         .agg(
             *[F.sum(F.when(F.col("_earns"), F.col(m))).alias(m) for m in ("revenue", "units")],
             F.sum("returns").alias("returns"),
         )
     )
+
+
+def category_cube(sums: DataFrame, products: DataFrame) -> DataFrame:
+    """:func:`cube_category` from sums per year or month, sales channel and product."""
+    if "year" not in sums.columns:
+        sums = sums.withColumn("year", F.year("order_date"))
     return (
-        per_product.join(products.select("product_id", "category", "cost"), "product_id")
+        sums.join(products.select("product_id", "category", "cost"), "product_id")
         .groupBy("year", "sales_channel", "category")
         .agg(
             in_crore(F.sum("revenue")).alias("revenue_cr"),

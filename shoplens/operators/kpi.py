@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import as_col, count_rows, line_revenue, money, ratio
+from ..functions.expr import as_col, count_rows, line_revenue, money, ratio, rows_of, values_of
 from ..functions.rules import CANCELLED, recognized
 from ..plans.joins import lookup_join
 from ..plans.running import running_rank
@@ -29,9 +29,9 @@ def revenue_by(
         recognized(orders, excluded)
         .groupBy(*dims)
         .agg(
-            count_rows().alias("order_count"),
+            rows_of(orders).alias("order_count"),
             money(F.sum(amount)).alias("total_revenue"),
-            ratio(F.sum(amount), F.count(amount)).alias("aov"),
+            ratio(F.sum(amount), values_of(orders, amount)).alias("aov"),
         )
     )
 
@@ -44,12 +44,14 @@ def aov_shift(
     status: str = "order_status",
 ) -> DataFrame:
     """How much leaving out the excluded statuses moves the average order value."""
-    kept = F.when(~F.col(status).isin(*excluded), F.col(amount))
+    earns = ~F.col(status).isin(*excluded)
+    kept = F.when(earns, F.col(amount))
+    n_kept = F.sum(F.when(earns, F.col("_values"))) if "_values" in orders.columns else F.count(kept)
     return (
         orders.groupBy(*dims)
         .agg(
-            ratio(F.sum(amount), F.count(amount)).alias("aov_all"),
-            ratio(F.sum(kept), F.count(kept)).alias("aov_recognized"),
+            ratio(F.sum(amount), values_of(orders, amount)).alias("aov_all"),
+            ratio(F.sum(kept), n_kept).alias("aov_recognized"),
         )
         .withColumn("aov_shift_pct", ratio(F.col("aov_recognized") - F.col("aov_all"), "aov_all", 2, 100))
     )
@@ -121,7 +123,9 @@ def recognized_items(
 def sales_per_product(
     items: DataFrame, revenue: Column | str | None = None, extra_keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Revenue, units and line counts per product, before any join."""
+    """Revenue, units and line counts per product, before any join. Sums by :func:`product_sums` are taken as they are."""
+    if "costed_units" in items.columns and not extra_keys:
+        return items.select("product_id", "revenue", "units", "costed_units")
     value = line_revenue() if revenue is None else as_col(revenue)
     return items.groupBy(*extra_keys, "product_id").agg(
         F.sum(value).alias("revenue"),
@@ -130,6 +134,18 @@ def sales_per_product(
     )
 
 
+def product_sums(items: DataFrame, price: Column | str = "unit_price", revenue: Column | str | None = None) -> DataFrame:
+    """All that the operators here need of order lines, per product: one scan for margins, units, prices and top lists."""
+    value = line_revenue() if revenue is None else as_col(revenue)
+    return items.groupBy("product_id").agg(
+        F.sum(value).alias("revenue"),
+        F.sum("quantity").alias("units"),
+        F.sum(F.when(value.isNotNull(), F.col("quantity"))).alias("costed_units"),
+        F.sum(as_col(price)).alias("price_sum"),
+        F.count(as_col(price)).alias("price_n"),
+    )
+
+
 def margin_by(
     items: DataFrame,
     products: DataFrame,
@@ -165,14 +181,8 @@ def units_and_asp(
     The rank orders one row per value of ``dim`` in one task, which is right for categories. ``wide`` ranks a domain of any size, such as
     all products, by counts of ranges (:func:`plans.running.running_rank`), and reads the sums from a table that it writes.
     """
-    value = line_revenue() if revenue is None else as_col(revenue)
     sums = ("units", "revenue", "price_sum", "price_n")
-    per_product = items.groupBy("product_id").agg(
-        F.sum("quantity").alias("units"),
-        F.sum(value).alias("revenue"),
-        F.sum(as_col(price)).alias("price_sum"),
-        F.count(as_col(price)).alias("price_n"),
-    )
+    per_product = (items if "price_n" in items.columns else product_sums(items, price, revenue)).select("product_id", *sums)
     per_value = (
         per_product.join(products.select(*dict.fromkeys(["product_id", dim])), "product_id")
         .groupBy(dim)
@@ -249,7 +259,7 @@ def headline(
     spent = spend.agg(F.sum("spend")).scalar()
     return (
         recognized(orders, excluded)
-        .agg(money(F.sum(amount)).alias("total_revenue"), count_rows().alias("order_count"))
+        .agg(money(F.sum(amount)).alias("total_revenue"), rows_of(orders).cast("bigint").alias("order_count"))
         .withColumn("total_spend", spent)
         .withColumn("blended_roas", ratio("total_revenue", "total_spend", 2))
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import count_rows, ratio
+from ..functions.expr import count_rows, ratio, rows_of
 from ..functions.rules import CANCELLED, recognized
 from ..plans.running import running_sum
 from .kpi import sales_per_product
@@ -67,7 +67,7 @@ def monthly_revenue(
     return (
         recognized(orders, excluded)
         .groupBy(*dims, F.year(order_date).alias("year"), F.month(order_date).alias("month"))
-        .agg(count_rows().alias("orders"), F.sum(amount).alias("revenue"))
+        .agg(rows_of(orders).alias("orders"), F.sum(amount).alias("revenue"))
     )
 
 

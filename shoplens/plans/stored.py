@@ -32,12 +32,20 @@ def stored(spark: SparkSession, fallback: str) -> Share:
     return share
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared checkpoint folder; without one, local mode uses a temporary folder."""
-    spark = df.sparkSession
+def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="run-")
-    return stored(spark, base)(df, name)
+    return base.rstrip("/")
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder; without one, local mode uses a temporary folder."""
+    return stored(df.sparkSession, _base(df.sparkSession))(df, name)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared checkpoint folder, for a table that is written more than once."""
+    return f"{_base(spark)}/shoplens-{uuid.uuid4().hex}/{name}"
