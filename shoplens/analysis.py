@@ -81,8 +81,9 @@ def reconciled_net():
     return F.col("gross_amount") - F.col("discount_amount") + F.col("shipping_amount")
 
 
-def data_quality(t: Tables, window_start: date = WINDOW_START) -> dict[str, DataFrame]:
+def data_quality(t: Tables, window_start: date = WINDOW_START, sums: Tables | None = None) -> dict[str, DataFrame]:
     """Level 1: profiling and data-quality checks."""
+    summed = {**t, "orders": (sums or sums_of(t))["orders"]}  # the same values, with counts
     touches_outside = quality.outside_parent_window(
         t["marketing_touchpoints"],
         t["campaigns"],
@@ -165,8 +166,8 @@ def data_quality(t: Tables, window_start: date = WINDOW_START) -> dict[str, Data
         "null_store_by_sales_channel": quality.null_by(t["orders"], "sales_channel", "store_id"),
         "null_campaign_by_session_source": quality.null_by(t["sessions"], "source", "campaign_id"),
         "null_rules": _stack(null_rules),
-        "whitespace_values": _for_columns(t, quality.whitespace_values),
-        "near_duplicate_values": _for_columns(t, quality.near_duplicate_values),
+        "whitespace_values": _for_columns(summed, quality.whitespace_values),
+        "near_duplicate_values": _for_columns(summed, quality.near_duplicate_values),
         "spend_violations": quality.violations(t["marketing_spend"], spend_rules()),
         "campaign_violations": quality.violations(t["campaigns"], campaign_rules),
         "orders_before_signup": before_signup,
@@ -181,18 +182,18 @@ def data_quality(t: Tables, window_start: date = WINDOW_START) -> dict[str, Data
 def sums_of(t: Tables, share: Share = recompute) -> dict[str, DataFrame]:
     """Orders summed per month, channel and status, and order lines per product: what most results need of these facts."""
     return {
-        "orders": share(state.order_sums(t["orders"]), "order_sums"),
+        "orders": share(state.order_sums(t["orders"], ["sales_channel", "order_status", "payment_method"]), "order_sums"),
         "order_items": share(kpi.product_sums(t["order_items"]), "product_sums"),
     }
 
 
-def core_kpis(t: Tables, sums: Tables | None = None) -> dict[str, DataFrame]:
+def core_kpis(t: Tables, share: Share = recompute, sums: Tables | None = None) -> dict[str, DataFrame]:
     """Level 2: revenue, channel efficiency, budgets, margins and returns."""
     products, spend, campaigns = t["products"], t["marketing_spend"], t["campaigns"]
     orders, items = (sums or sums_of(t)).values()
     variance = kpi.budget_variance(spend, campaigns)
     by_category = kpi.margin_by(items, products, "category")
-    rates = kpi.return_rate_by(t["order_items"], products, t["returns"], "category")
+    rates = share(kpi.return_rate_by(t["order_items"], products, t["returns"], "category"), "return_rates")
     return {
         "revenue_by_sales_channel": kpi.revenue_by(orders),
         "aov_shift": kpi.aov_shift(orders),
@@ -283,4 +284,4 @@ def analyse(t: Tables, share: Share = recompute) -> dict[str, DataFrame]:
     lazy by default, or written once (see :func:`plans.stored`).
     """
     sums = sums_of(t, share)
-    return {**data_quality(t), **core_kpis(t, sums), **trends_and_behaviour(t, sums), **advanced(t, share, sums)}
+    return {**data_quality(t, sums=sums), **core_kpis(t, share, sums), **trends_and_behaviour(t, sums), **advanced(t, share, sums)}

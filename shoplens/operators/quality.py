@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from ..functions.expr import as_col, count_rows, line_revenue, padding_chars, ratio
+from ..functions.expr import as_col, count_rows, line_revenue, padding_chars, ratio, rows_of
 from ..plans.joins import lookup_join
 
 
@@ -234,7 +234,7 @@ def near_duplicate_values(df: DataFrame, col: str) -> DataFrame:
     return (
         df.where(F.col(col).isNotNull())
         .groupBy(F.col(col).alias("value"))
-        .agg(count_rows().alias("n"))
+        .agg(rows_of(df).alias("n"))
         .groupBy(F.lower(F.trim("value")).alias("normalized"))
         .agg(
             count_rows().alias("n_variants"),
