@@ -38,7 +38,12 @@ def _classes(n: int, percent: int) -> list[tuple[int, int]]:
 
 
 def _signature(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the slices and the group counts of one sorted set."""
+    """Keys of the slices and the group counts of one sorted set.
+
+    A partner differs from a set of n shingles in (100 - percent) * n / percent at most. A set with more non-empty slices than
+    that agrees with every partner in one of these, so its empty slices, which unrelated sets have as well, get no key.
+    """
+    most = len(shingles) * (100 - percent) // percent
     keys = []
     for c, slices in _classes(len(shingles), percent):
         # A further scramble: slices and groups must not depend on one another.
@@ -46,7 +51,9 @@ def _signature(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarr
         at = ((own >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(slices, np.uint64)
         np.add.at(sums, at, mix(own))
-        keys.append(mix(sums + mix(np.arange(slices, dtype=np.uint64) + np.uint64(c << 40))).view(np.int64))
+        key = mix(sums + mix(np.arange(slices, dtype=np.uint64) + np.uint64(c << 40))).view(np.int64)
+        full = np.bincount(at, minlength=slices) > 0
+        keys.append(key[full] if full.sum() > most else key)
     counts = np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
     return np.concatenate(keys), counts.astype("<u4")
 

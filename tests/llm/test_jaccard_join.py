@@ -77,3 +77,23 @@ def test_tree_finds_what_the_bound_allows():
         need = j._need(int(q.sum()), 90)
         want = np.flatnonzero(np.minimum(points, q).sum(axis=1) >= need(points.sum(axis=1)))
         assert sorted(tree.search(q, need)[0].tolist()) == want.tolist()
+
+
+def test_unrelated_sets_share_no_key():
+    """Empty slices get no key where a non-empty one is sure to agree; pairs at the threshold still share one."""
+    r = np.random.default_rng(11)
+    seen = {}
+    for i in range(300):
+        keys, _ = j._signature(np.unique(r.integers(0, 2**63, 300, dtype=np.uint64)), 80)
+        for k in keys.tolist():
+            seen.setdefault(k, set()).add(i)
+    assert all(len(v) == 1 for v in seen.values())
+    for n in (1, 2, 3, 5, 9, 20, 63, 64, 100, 300):
+        for percent in (80, 90):
+            for _ in range(30):
+                one = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+                gone = r.integers(0, n * (100 - percent) // 100 + 1)
+                other = np.unique(np.concatenate([one[gone:], r.integers(0, 2**63, r.integers(0, 1 + n // 20), dtype=np.uint64)]))
+                both = len(np.intersect1d(one, other))
+                if 100 * both >= percent * (len(one) + len(other) - both):
+                    assert np.intersect1d(j._signature(one, percent)[0], j._signature(other, percent)[0]).size
