@@ -5,8 +5,9 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import struct
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 from shoplens.llm.common import running_totals, ship, stored, with_defaults
 
 END = 0  # the id that closes a document
-_LINE_OR_BLANK = ("  ", " \n", "\n ", "\n\n")
 
 
 def _ranks(path: str) -> dict[bytes, int] | None:
@@ -35,11 +35,30 @@ def _ranks(path: str) -> dict[bytes, int] | None:
     return {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if i < 256 + len(pairs)}
 
 
+class _Pieces(dict):
+    """Ids by piece, found when first asked for; a piece that is no word, or holds other white space, is refused by ``KeyError``."""
+
+    def __init__(self, encode: Callable[[str], list[int]], form: str, older: dict[str, bytes]):
+        super().__init__()
+        self.encode, self.form, self.older = encode, form, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            line = piece[:1] == "\n"
+            if piece.split() != [piece[line:]]:
+                raise KeyError(piece)
+            found = self.encode(piece if line else " " + piece)
+            ids = struct.pack(f"<{len(found)}{self.form}", *found)
+        self[piece] = ids
+        return ids
+
+
 class Ids:
     """Token ids of texts by one public tokenizer, as little-endian unsigned 32-bit binaries, or 16-bit where they fit (``size``).
 
-    Words repeat: texts are cut before single blanks and line feeds, which no token of a byte-level BPE crosses, and the ids of up to
-    ``keep`` pieces are kept. Pieces not seen are merged by the same vocabulary and merge order in the faster of two libraries,
+    Words repeat: texts are cut before single blanks and line feeds, which no token of a byte-level BPE crosses, and the ids of the last
+    ``keep`` pieces or more are kept. Pieces not seen are merged by the same vocabulary and merge order in the faster of two libraries,
     where the file allows it. Texts with any other white space go to the tokenizer whole. All ways give the same ids.
     """
 
@@ -50,49 +69,32 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.size}"
-        self.keep, self.known, self.older = keep, {}, {}
+        self.kind, self.form = f"<u{self.size}", "H" if self.size == 2 else "I"
+        self.keep = keep
         ranks = _ranks(path)
-        self.cuts, self.faster = ranks is not None, None
+        self.cuts, self.encode = ranks is not None, lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         if ranks:
             import public_tokenizers
             import tiktoken
 
             faster = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             probe = " a b\nc's 12,;é  x\t"
-            if faster.encode_ordinary(probe) == self.tokenizer.encode(probe, add_special_tokens=False).ids:
-                self.faster = faster
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if self.faster:
-            return [np.array(self.faster.encode_ordinary(t), self.kind).tobytes() for t in texts]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, self.kind).tobytes() for x in found]
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _plain(self, text: str) -> bool:
-        """Only single blanks and line feeds, none at an edge."""
-        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _LINE_OR_BLANK):
-            return False
-        return sum(map(len, text.split())) + text.count(" ") + text.count("\n") == len(text)
+            if faster.encode_ordinary(probe) == self.encode(probe):
+                self.encode = faster.encode_ordinary
+        self.known = _Pieces(self.encode, self.form, {})
 
     def of(self, text: str) -> bytes:
-        if not (self.cuts and self._plain(text)):
-            return self._whole(text)
-        # A piece that begins with a line feed has it; any other stands for a blank and itself.
-        pieces = ("\n" + text).replace("\n", " \n")[1:].split(" ")
-        new = set(pieces).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > self.keep:
-                self.older, self.known = self.known, {}
-                new = set(pieces)
-            back = [u for u in new if u in self.older]
-            self.known.update((u, self.older[u]) for u in back)
-            new = [u for u in new if u not in self.older]
-            self.known.update(zip(new, self._encode([u if u[:1] == "\n" else " " + u for u in new])))
-        return b"".join(map(self.known.__getitem__, pieces))[self.size :]
+        if self.cuts:
+            if len(self.known) > self.keep:
+                self.known.older = {}
+                self.known = _Pieces(self.encode, self.form, self.known)
+            # A piece that begins with a line feed has it; any other stands for a blank and itself.
+            pieces = ("\n" + text).replace("\n", " \n")[1:].split(" ")
+            try:
+                return b"".join(map(self.known.__getitem__, pieces))[self.size :]
+            except KeyError:  # an empty text, two blanks or line feeds in turn, or another white space
+                pass
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
 
 _LOADED: dict[str, Ids] = {}

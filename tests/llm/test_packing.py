@@ -1,6 +1,8 @@
 """Packing: every id in one piece, full windows, proportions; ids equal to the tokenizer's."""
 
 import functools
+import random
+import string
 import zlib
 
 import numpy as np
@@ -31,6 +33,25 @@ def test_ids_equal_the_tokenizers():
         assert ids.of(text) == plain_ids(text)[:-1].astype(ids.kind).tobytes(), text
 
 
+def test_ids_of_generated_texts():
+    """Marks, digits, scripts, controls and every kind of white space, in all combinations that a seeded draw meets."""
+    r = random.Random(8)
+    parts = [
+        *string.ascii_letters, *string.digits, *string.punctuation, "'s", "'ll", "don't", "<|endoftext|>", "http://a.b/c?d=1", "\u00e9", "e\u0301",
+        "\u00df", "\u4e2d\u6587", "\u3042", "\u0438\u043c", "\u0627\u0644", "\u0939\u093f", "\U0001f600", "\U0001f468\u200d\U0001f469", "\u200b", "\ufeff", "\x00", "\x7f", "\ufffd",
+    ]
+    spaces = [" "] * 60 + ["\n"] * 12 + ["  ", "\n\n", " \n", "\n ", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000"]
+    ids = packing.Ids(PATH, keep=300)
+    for _ in range(4000):
+        few = r.random() < 0.6
+        text = ""
+        for _ in range(r.randrange(1, 30)):
+            text += "".join(r.choices(parts, k=r.randrange(1, 7))) + (r.choice(" \n") if few else r.choice(spaces))
+        text = text if r.random() < 0.1 else text[:-1]
+        assert ids.of(text) == plain_ids(text)[:-1].astype(ids.kind).tobytes(), repr(text)
+    assert len(ids.known.older) <= 300 + 30
+
+
 def check(spark, rows, window, **options):
     got = packing.pack(frame(spark, rows, SCHEMA), window=window, **options).collect()
     texts = {r[0]: r[1] for r in rows}
