@@ -259,13 +259,6 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, perc
     return both.select("a", "b", "a_mark1", "a_mark2", "b_mark1", "b_mark2", "a_text", "b_text").mapInArrow(run, "a long, b long").distinct()
 
 
-def _in_different(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return joined.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
-
-
 def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block: int = 512, broadcast_keys: int = 2_000_000) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row: the size of its set and the smallest id reachable by links.
 
@@ -275,13 +268,13 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block
     1. Equal sets become one node, the smallest id; a group of copies costs one row from here on.
     2. Nodes are filed under their slice keys. Keys with several members are buckets; buckets with the same members count once.
     3. A bucket is cut into blocks of about ``block`` members, each with the bucket's first member. In each block's R-tree a member
-       looks for the earlier member with the largest bound. Each member's best pair is verified, then those of the others whose
-       ends are still apart; links are joined to components.
+       looks for the earlier member with the largest bound. Of a member's pairs from all blocks the best one is verified; links are
+       joined to components.
     4. Buckets whose members are now in one component are done. In all others every pair in different components is looked up
        through the R-trees, blocks against blocks, where members of the bucket's largest component are compared with the others only.
 
     Null, empty and wordless texts have an empty set and link with nothing. A row without an id has no component; rows that
-    share an id but not a set are linked under that id if it is the smallest of both sets. Other columns are ignored. No rows give no rows.
+    share an id but not a set are linked under that id if it is the smallest of both sets; each set keeps its own partners. Other columns are ignored. No rows give no rows.
     Sums are combined before shuffles; large buckets are cut by a hash, so no group meets in one task. Up to
     ``broadcast_keys`` shared keys or ids (8 bytes each) are broadcast, more are joined by a shuffle, with the same result.
     """
@@ -303,7 +296,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block
     buckets = held.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"), F.min("node").alias("pivot"))
     buckets = buckets.groupBy("n", "members", "pivot").agg(F.min("key").alias("key"))
     members = held.join(buckets.select("key", "n", "pivot"), "key")
-    members = stored(members.join(nodes.dropDuplicates(["node"]).select("node", "counts"), "node").select("key", "n", "pivot", "node", "counts"), "members")
+    # An id with several sets is a member with the counts of each.
+    members = stored(members.join(nodes.select("node", "counts").distinct(), "node").select("key", "n", "pivot", "node", "counts"), "members")
 
     blocks = F.ceil(F.col("n") / block).cast("int")
     # The pivot is in every block, so that blocks of one bucket meet.
@@ -311,21 +305,17 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block
         F.array(F.pmod(F.xxhash64("node", "key"), blocks).cast("int"))
     )
     dealt = members.select("key", F.explode(own).alias("block"), "node", "counts")
-    pairs = _runs(dealt, ["key", "block"], lambda g: nearest_pairs(g["node"], g["counts"], percent)).distinct()
-    pairs = stored(pairs, "near")
-    # The best of each member first; most others then lie within one component and need no look at the sets.
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("bound", -F.col("a"))).alias("a")).select("a", "b")
-    links = stored(verify(stored(best, "best"), nodes, docs, words, percent, broadcast_keys), "links_0")
-    rest = _in_different(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), components(links))
-    links = links.unionAll(stored(verify(stored(rest, "rest"), nodes, docs, words, percent, broadcast_keys), "links_1"))
+    pairs = _runs(dealt, ["key", "block"], lambda g: nearest_pairs(g["node"], g["counts"], percent))
+    best = stored(pairs.groupBy("b").agg(F.max_by("a", F.struct("bound", -F.col("a"))).alias("a")).select("a", "b"), "best")
+    links = stored(verify(best, nodes, docs, words, percent, broadcast_keys), "links")
     found = components(links)
 
     parted = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per_part = parted.groupBy("key", "component").agg(F.count("*").alias("size"))
-    open_ = per_part.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("big")).where("parts > 1")
-    open_ = open_.select("key", F.col("big.component").alias("big"), F.col("big.size").alias("size"))
+    open_ = per_part.groupBy("key").agg(F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("big")).where("all > big.size")
+    open_ = open_.select("key", "all", F.col("big.component").alias("big"), F.col("big.size").alias("size"))
     parted = stored(parted.join(open_, "key"), "open")
-    left_blocks, right_blocks = F.ceil(F.col("n") / block).cast("int"), F.ceil((F.col("n") - F.col("size")) / block).cast("int")
+    left_blocks, right_blocks = F.ceil(F.col("all") / block).cast("int"), F.ceil((F.col("all") - F.col("size")) / block).cast("int")
     spot = lambda of, salt: F.pmod(F.xxhash64("node", F.lit(salt)), of).cast("int")
     keep = ["key", "node", "component", "counts"]
     left = parted.select(*keep, F.lit(0).alias("side"), spot(left_blocks, 1).alias("i"), F.explode(F.sequence(F.lit(0), right_blocks - 1)).alias("j"))
@@ -337,7 +327,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, block
         return apart_pairs(cut(0), cut(1), percent) if 0 < side.sum() < len(side) else []
 
     apart = _runs(left.unionAll(right), ["key", "i", "j"], compare).select("a", "b").distinct()
-    apart = stored(apart.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "apart")
+    apart = stored(apart.join(best, ["a", "b"], "left_anti"), "apart")
     more = verify(apart, nodes, docs, words, percent, broadcast_keys)
     found = components(links.unionAll(more))
 

@@ -55,6 +55,32 @@ def test_awkward_rows(spark):
     assert j.jaccard_components(frame(spark, [], schema)).collect() == []
 
 
+def test_two_texts_under_one_id(spark):
+    """Each of an id's two sets is linked with its own near copy."""
+    rows = []
+    for i in range(30):
+        one, two = prose(1000 + i, 120, 5000), prose(2000 + i, 90, 5000)
+        rows += [(i, one), (i, two), (100 + i, changed(one, 1, i)), (200 + i, changed(two, 1, i))]
+    got = {(r["doc_id"], r["component_id"]) for r in j.jaccard_components(frame(spark, rows, "doc_id long, text string"), block=7).collect()}
+    assert got == {(base + i, i) for i in range(30) for base in (0, 100, 200)}
+
+
+def test_a_large_group_leaves_one_pair_a_member(spark):
+    """Near copies of one text, five times as many: links to verify grow with the members, not with their keys."""
+    base, made = prose(31, 150, 5000), {}
+    real = j.verify
+    for n in (60, 300):
+        pairs = []
+        j.verify = lambda found, *rest: (pairs.append(found.count()), real(found, *rest))[1]
+        try:
+            docs = frame(spark, [(i, changed(base, 1, i)) for i in range(n)], "doc_id long, text string")
+            assert {r["component_id"] for r in j.jaccard_components(docs, 5, 80, block=32).collect()} == {0}
+        finally:
+            j.verify = real
+        made[n] = pairs
+    assert made == {60: [59, 0], 300: [299, 0]}
+
+
 def test_no_pair_is_lost_by_slices():
     """Sets at the threshold share a key, whatever their sizes."""
     r = np.random.default_rng(1)
