@@ -1237,16 +1237,15 @@ def _(t: Retail):
 
 @query(
     "cube_slices",
-    f"""SELECT year_slice, channel_slice, order_count, {_D("revenue")} AS total_revenue, {_D("spent")} AS total_spend,
-               {_div("revenue", "spent", 2)} AS blended_roas
-        FROM (SELECT CASE WHEN grouping(y) = 1 THEN 'All' ELSE CAST(y AS VARCHAR) END AS year_slice,
+    f"""SELECT slice_id, year_slice, channel_slice, order_count, {_D("revenue")} AS total_revenue, {_D("spent")} AS total_spend,
+               CASE WHEN slice_id IN (1, 3) THEN {_div("revenue", "spent", 2)} END AS blended_roas
+        FROM (SELECT grouping(y, sales_channel) AS slice_id, CASE WHEN grouping(y) = 1 THEN 'All' ELSE CAST(y AS VARCHAR) END AS year_slice,
                      CASE WHEN grouping(sales_channel) = 1 THEN 'All' ELSE sales_channel END AS channel_slice,
                      count(*) AS order_count, sum(net_amount) AS revenue
               FROM (SELECT *, year(order_date) AS y FROM ord WHERE order_status <> 'P')
               GROUP BY CUBE (y, sales_channel))
-        LEFT JOIN (SELECT CASE WHEN grouping(y) = 1 THEN 'All' ELSE CAST(y AS VARCHAR) END AS year_slice,
-                          'All' AS channel_slice, sum(spend) AS spent
-                   FROM (SELECT *, year(day) AS y FROM spend) GROUP BY ROLLUP (y)) USING (year_slice, channel_slice)""",
+        LEFT JOIN (SELECT CASE WHEN grouping(y) = 1 THEN 'All' ELSE CAST(y AS VARCHAR) END AS year_slice, sum(spend) AS spent
+                   FROM (SELECT *, year(day) AS y FROM spend) GROUP BY ROLLUP (y)) USING (year_slice)""",
     views="ord spend",
 )
 def _(t: Retail):

@@ -144,14 +144,16 @@ def cube_slices(
 ) -> DataFrame:
     """Headline figures for every year and sales channel, and 'All' of either.
 
-    Spend has no sales channel, so spend and ROAS are NULL in channel slices.
-    Facts are summed before they are cubed.
+    ``slice_id`` is 0 for one year and channel, 1 for all channels, 2 for all years, 3 for both, so that a channel called
+    'All' stays apart from all channels. Spend has no sales channel: a channel's slice shows the spend of its
+    year and no ROAS. Facts are summed before they are cubed.
     """
     all_or = lambda c: F.when(F.grouping(c) == 1, "All").otherwise(F.col(c).cast("string")).alias(c)
     sales = (
         monthly_revenue(orders, ["sales_channel"], excluded=excluded)
         .cube("year", "sales_channel")
         .agg(
+            F.grouping_id().alias("slice_id"),
             all_or("year").alias("year_slice"),
             all_or("sales_channel").alias("channel_slice"),
             F.sum("orders").alias("order_count"),
@@ -164,10 +166,10 @@ def cube_slices(
         .agg(F.sum("spend").alias("spend"))
         .cube("year")
         .agg(all_or("year").alias("year_slice"), F.sum("spend").alias("total_spend"))
-        .select("year_slice", F.lit("All").alias("channel_slice"), "total_spend")
+        .select("year_slice", "total_spend")
     )
-    return sales.join(spent, ["year_slice", "channel_slice"], "left").withColumn(
-        "blended_roas", ratio("total_revenue", "total_spend", 2)
+    return sales.join(spent, "year_slice", "left").withColumn(
+        "blended_roas", F.when(F.col("slice_id") % 2 == 1, ratio("total_revenue", "total_spend", 2))
     )
 
 

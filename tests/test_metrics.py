@@ -303,6 +303,7 @@ def test_cubes_add_up(orders, marketing, baskets):
     slices = {(r["year_slice"], r["channel_slice"]): r.asDict() for r in cubes.cube_slices(orders, marketing[0]).collect()}
     assert slices[("All", "All")]["order_count"] == 4 and slices[("All", "All")]["total_spend"] == 142
     assert slices[("2023", "All")]["order_count"] == slices[("2023", "Online")]["order_count"] + slices[("2023", "In-Store")]["order_count"]
+    assert slices[("2023", "Online")]["total_spend"] == slices[("2023", "All")]["total_spend"] == 82
     assert slices[("2023", "Online")]["blended_roas"] is None
     assert slices[("2024", "All")]["blended_roas"] == round(25 / 60, 2)
     cat = {(r["year"], r["sales_channel"], r["category"]): r.asDict() for r in cubes.cube_category(items, orders, products, returns).collect()}
@@ -315,6 +316,18 @@ def test_cubes_add_up(orders, marketing, baskets):
         (2023, "Email", 0, 0), (2023, "SMS", 1000, 30), (2024, "SMS", 1000, 10)]
 
 
+def test_a_channel_called_all_stays_apart(orders, marketing):
+    named = orders.withColumn("sales_channel", F.when(F.col("sales_channel") == "Online", "All").otherwise(F.col("sales_channel")))
+    plain = {(r["slice_id"], r["year_slice"], r["channel_slice"]): r[3:] for r in rows_of(cubes.cube_slices(orders, marketing[0]))}
+    other = {(r["slice_id"], r["year_slice"], r["channel_slice"]): r[3:] for r in rows_of(cubes.cube_slices(named, marketing[0]))}
+    assert other == {(i, y, "All" if c == "Online" else c): v for (i, y, c), v in plain.items()}
+    assert (0, "2023", "All") in other and (1, "2023", "All") in other and (3, "All", "All") in other
+
+
+def rows_of(df):
+    return df.select("slice_id", "year_slice", "channel_slice", "order_count", "total_revenue", "total_spend", "blended_roas").collect()
+
+
 def test_lowest_and_highest(spark):
     t = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", None), ("d", 1.0)], "k string, m double")
     assert [r[0] for r in cubes.lowest(t, "m", 2, "k").collect()] == ["b", "d"]
