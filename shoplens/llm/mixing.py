@@ -70,16 +70,19 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_shar
 
 def mix(
     docs: DataFrame, block: int = 128, slots_per_shard: int = 4096, rows_per_bucket: int = 2_000, seed: int = 7,
-    weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, row: str | None = None,
+    weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, row: str | None = None, slots_per_task: int = 250_000,
 ) -> tuple[DataFrame, DataFrame]:
     """``(rows, slots)``: the documents' places in their sources' blocks, and the mix itself.
 
     ``rows``: ``row, doc_id, source, size, source_size, target, n_blocks, at`` with ``at`` the words of the source before
-    this document. ``slots``: ``shard, slot, source, block, uses``: the block of ``block`` words that fills a slot.
+    this document. ``slots``: ``shard, slot, source, block, pass``: the block of ``block`` words that fills a slot, and how often
+    its source was gone through before.
 
     The words of a source form a queue cut into blocks. The mix has as many slots as the targets need, dealt to shards of
-    ``slots_per_shard``. Counts per shard are multinomial draws with low variance: the slots' uniform numbers are an
-    even grid in an order given by a pseudorandom permutation, so totals meet the targets to within half a block.
+    ``slots_per_shard``. Counts per shard are multinomial draws on condition that they add up to the targets, to within half a
+    block: each slot draws a different one of the mix's numbers by a pseudorandom permutation, and each source owns a stretch of
+    them. Their variance is that of free draws times the share of slots that lie outside the shard; free draws alone
+    would miss the targets and could take a block a third time.
     The r-th slot of a source takes the block to which a pseudorandom permutation of that source's
     block numbers, another one for each pass, sends r. Blocks are joined by number. A block is used at most twice as targets stop at twice the size.
 
@@ -108,7 +111,9 @@ def mix(
     )
 
     n = int(shared.agg(F.max("all_slots")).first()[0] or 0)
-    slots = docs.sparkSession.range(n).withColumn("n", F.lit(n).cast("long"))
+    spark = docs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // slots_per_task))
+    slots = spark.range(0, n, 1, tasks).withColumn("n", F.lit(n).cast("long"))
     slots = _permuted(slots, "id", "n", "draw", F.lit(seed))
     # The draw falls into one source's stretch of the grid; stretches are cut at steps to make this an equality join.
     width = max(1, n // 256)

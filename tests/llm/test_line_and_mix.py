@@ -103,3 +103,25 @@ def test_mix(spark):
         assert size == source_size and abs(taken - target) <= 32
     empty = mixing.taken(*mixing.mix(frame(spark, [], SCHEMA)))
     assert empty.collect() == []
+
+
+def test_taken_recomputed_and_draws_spread(spark):
+    """Words of the slots' blocks counted plainly; counts per shard vary as multinomial draws with fixed totals do."""
+    rows = [(i, prose(i, 20 + (i * 37) % 300), "abc"[(i % 7 > 3) + (i % 7 > 5)]) for i in range(150)]
+    places, slots = mixing.mix(frame(spark, rows, "doc_id long, text string, source string"), block=4, slots_per_shard=32, slots_per_task=900)
+    places, drawn = [mixing.stored(x, "x") for x in (places, slots)]
+    got = {r["doc_id"]: r["taken"] for r in mixing.taken(places, drawn, 4).collect()}
+    queue, slots = collections.defaultdict(dict), drawn.collect()
+    for r in places.collect():
+        for k in range(r["size"]):
+            queue[r["source"]][r["at"] + k] = r["doc_id"]
+    assert all(sorted(q) == list(range(len(q))) for q in queue.values())
+    want = collections.Counter()
+    for s in slots:
+        want.update(queue[s["source"]][k] for k in range(s["block"] * 4, s["block"] * 4 + 4) if k in queue[s["source"]])
+    assert got == {i: want[i] for i, _, _ in rows}
+    assert sorted(s["slot"] for s in slots) == list(range(len(slots)))
+    shards, totals = collections.Counter((s["shard"], s["source"]) for s in slots), collections.Counter(s["source"] for s in slots)
+    full, n = len(slots) // 32, len(slots)
+    spread = sum((shards[k, s] - 32 * t / n) ** 2 / (32 * t / n) for k in range(full) for s, t in totals.items())
+    assert full > 100 and 0.7 < spread / (full * (len(totals) - 1) * (1 - 32 / n)) < 1.3
