@@ -2,7 +2,8 @@
 
 The shingles of a document are hashed into groups. The group counts are a point, and the summed coordinate minima of two
 points bound the overlap of the two sets from above. Points that can have partners are dealt to blocks, each block is
-an R-tree, and pairs whose bound reaches the needed overlap are verified on the sets.
+an R-tree over the counts of 64 groups, and of the pairs found those whose bound on all groups reaches the needed overlap are
+verified on the sets. Large sets have more groups: with many shingles a group, unrelated counts are nearly equal.
 
 Dealing is exact: if two sets of a size class differ in at most d shingles, they agree in at least one of
 d + 1 slices of the hash space, so both come under one key (slice, contents). Keys with one member are done.
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from shoplens.llm.common import components, document_words, mix, shared_folder, shingle_hashes, ship, stored, with_defaults
 
 GROUPS = 64
+_MOST = 4096
 _FAN = 16
 
 
@@ -54,8 +56,33 @@ def _signature(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarr
         key = mix(sums + mix(np.arange(slices, dtype=np.uint64) + np.uint64(c << 40))).view(np.int64)
         full = np.bincount(at, minlength=slices) > 0
         keys.append(key[full] if full.sum() > most else key)
-    counts = np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-    return np.concatenate(keys), counts.astype("<u4")
+    return np.concatenate(keys), group_counts(shingles)
+
+
+def group_counts(shingles: np.ndarray) -> np.ndarray:
+    """Shingles in each group, one byte a group: 64 groups or, for large sets, one for four to eight shingles, at most ``_MOST`` while bytes suffice.
+
+    Groups are leading bits, so sums of neighbours are the counts of fewer groups.
+    """
+    bits = min(max(GROUPS, 1 << (max(len(shingles) // 4, 1).bit_length() - 1)), _MOST).bit_length() - 1
+    while True:
+        counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
+        bits += 1
+
+
+def _folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """The counts of fewer ``groups``, along the last axis."""
+    return points.reshape(*points.shape[:-1], groups, -1).sum(axis=-1, dtype=np.int32)
+
+
+def _points(counts: list[bytes]) -> np.ndarray:
+    """One matrix of the members' counts, in as many groups as all have."""
+    groups = min(map(len, counts))
+    if all(len(c) == groups for c in counts):
+        return np.frombuffer(b"".join(counts), np.uint8).reshape(-1, groups).astype(np.int32)
+    return np.stack([_folded(np.frombuffer(c, np.uint8), groups) for c in counts])
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -83,7 +110,7 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
             n, one, two, keys, counts = [], [], [], [], []
             for _, s in j.shingle_sets(batch.column(1), words):
                 a, b = j._marks(s)
-                k, c = j._signature(s, percent) if len(s) else (np.zeros(0, np.int64), np.zeros(0, "<u4"))
+                k, c = j._signature(s, percent) if len(s) else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
                 n.append(len(s))
                 one.append(a)
                 two.append(b)
@@ -147,6 +174,12 @@ def _needs(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _bounds(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bounds on the overlap of ``a[x]`` and ``b[y]`` on all groups, a bounded part at a time."""
+    step = max(1, (1 << 21) // a.shape[1])
+    return np.concatenate([np.zeros(0, np.int64), *[np.minimum(a[x[k : k + step]], b[y[k : k + step]]).sum(axis=1) for k in range(0, len(x), step)]])
+
+
 def nearest_pairs(ids: np.ndarray, points: np.ndarray, percent: int) -> list[tuple[int, int, int]]:
     """``(earlier, member, bound)``: for each member the member with a smaller id and the largest bound, if that reaches the needed overlap.
 
@@ -159,7 +192,8 @@ def nearest_pairs(ids: np.ndarray, points: np.ndarray, percent: int) -> list[tup
     if n == 2:
         bound, sizes = int(np.minimum(points[0], points[1]).sum()), points.sum(axis=1)
         return [(int(ids[0]), int(ids[1]), bound)] if bound >= _needs(sizes[0], sizes[1], percent) and ids[0] < ids[1] else []
-    sizes = points.sum(axis=1)
+    sizes, fine = points.sum(axis=1), points
+    points = _folded(fine, GROUPS)
     tree = CountTree(points)
     best, at = np.full(n, -1), np.full(n, -1)
     least = -(-sizes * percent // 100)
@@ -171,7 +205,12 @@ def nearest_pairs(ids: np.ndarray, points: np.ndarray, percent: int) -> list[tup
         if not len(q):
             continue
         bound = np.minimum(points[q][:, None, :], points[own][None, :, :]).sum(axis=2)
-        fits = (bound >= _needs(sizes[q][:, None], sizes[own][None, :], percent)) & (ids[own][None, :] < ids[q][:, None])
+        needed = _needs(sizes[q][:, None], sizes[own][None, :], percent)
+        fits = (bound >= needed) & (ids[own][None, :] < ids[q][:, None])
+        if fine.shape[1] > GROUPS:
+            x, y = np.nonzero(fits)
+            bound[x, y] = _bounds(fine, fine, q[x], own[y])
+            fits &= bound >= needed
         bound = np.where(fits, bound, -1)
         j = bound.argmax(axis=1)
         top, who = bound[np.arange(len(q)), j], own[j]
@@ -183,8 +222,9 @@ def nearest_pairs(ids: np.ndarray, points: np.ndarray, percent: int) -> list[tup
 
 def apart_pairs(left: tuple, right: tuple, percent: int) -> list[tuple[int, int, int]]:
     """``(a, b, bound)`` of all pairs of left and right members in different components whose bound reaches the needed overlap."""
-    ids, points, parts = left
-    nodes, others, theirs = right
+    ids, fine, parts = left
+    nodes, others_fine, theirs = right
+    points, others = _folded(fine, GROUPS), _folded(others_fine, GROUPS)
     tree, out = CountTree(points), []
     sizes, needed = points.sum(axis=1), others.sum(axis=1)
     boxes = tree.levels[0] if tree.levels else points
@@ -195,9 +235,14 @@ def apart_pairs(left: tuple, right: tuple, percent: int) -> list[tuple[int, int,
             continue
         bound = np.minimum(others[q][:, None, :], points[own][None, :, :]).sum(axis=2)
         fits = (bound >= _needs(needed[q][:, None], sizes[own][None, :], percent)) & (theirs[q][:, None] != parts[own][None, :])
-        for x, y in zip(*np.nonzero(fits)):
-            a, b = int(ids[own[y]]), int(nodes[q[x]])
-            out.append((min(a, b), max(a, b), int(bound[x, y])))
+        x, y = np.nonzero(fits)
+        x, y, bound = q[x], own[y], bound[x, y]
+        if fine.shape[1] > GROUPS:
+            bound = _bounds(others_fine, fine, x, y)
+            near = bound >= _needs(needed[x], sizes[y], percent)
+            x, y, bound = x[near], y[near], bound[near]
+        a, b = ids[y], nodes[x]
+        out += zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), bound.tolist())
     return out
 
 
@@ -210,11 +255,10 @@ def _runs(df: DataFrame, by: list[str], use: Callable[[dict[str, np.ndarray]], l
 
         def done(part: pd.DataFrame, edges: list[int]) -> pd.DataFrame:
             columns = {c: part[c].to_numpy() for c in part.columns if c != "counts"}
-            columns["counts"] = np.frombuffer(b"".join(part["counts"]), "<u4").reshape(len(part), GROUPS).astype(np.int32)
-            out = []
+            counts, out = part["counts"].tolist(), []
             for lo, hi in zip(edges, edges[1:]):
                 if hi - lo > 1:
-                    out += use({c: v[lo:hi] for c, v in columns.items()})
+                    out += use({c: v[lo:hi] for c, v in columns.items()} | {"counts": _points(counts[lo:hi])})
             return pd.DataFrame(out, columns=["a", "b", "bound"])
 
         for batch in batches:

@@ -81,6 +81,36 @@ def test_a_large_group_leaves_one_pair_a_member(spark):
     assert made == {60: [59, 0], 300: [299, 0]}
 
 
+def test_large_unlike_sets_are_told_apart_by_their_counts(spark):
+    """Long texts with one boilerplate share keys, but no pair of them is verified; near copies of long texts are linked."""
+    boiler, texts = prose(41, 1200, 5000), []
+    for i in range(24):
+        texts.append(boiler + " " + prose(5100 + i, 1800 + 40 * i, 5000))
+    texts += [changed(texts[i], 20, i) for i in range(4)]
+    seen, real = [], j.verify
+    j.verify = lambda found, *rest: (seen.extend(map(tuple, found.select("a", "b").collect())), real(found, *rest))[1]
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in j.jaccard_components(documents(spark, texts), 5, 80, block=7).collect()}
+    finally:
+        j.verify = real
+    assert sorted(seen) == [(i, 24 + i) for i in range(1, 5)]
+    assert got == {i: i if i <= 24 else i - 24 for i in range(1, 29)}
+
+
+def test_counts_bound_the_overlap():
+    r = np.random.default_rng(12)
+    for n, m in ((1, 2), (300, 300), (4000, 3000), (9000, 40_000)):
+        one = np.unique(r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        other = np.unique(np.concatenate([one[: n // 2], r.integers(0, 2**63, m, dtype=np.uint64) * np.uint64(2)]))
+        points = j._points([j.group_counts(s).tobytes() for s in (one, other)])
+        assert points.sum(axis=1).tolist() == [len(one), len(other)]
+        both = len(np.intersect1d(one, other))
+        bounds = [int(np.minimum(*p).sum()) for p in (points, j._folded(points, j.GROUPS))]
+        assert both <= bounds[0] <= bounds[1]
+    crowded = np.arange(3000, dtype=np.uint64) << np.uint64(40)
+    assert j.group_counts(crowded).sum() == 3000 and j.group_counts(crowded).dtype == np.uint8
+
+
 def test_no_pair_is_lost_by_slices():
     """Sets at the threshold share a key, whatever their sizes."""
     r = np.random.default_rng(1)
