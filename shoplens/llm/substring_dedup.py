@@ -298,10 +298,24 @@ def _grow(starts: list[int], ends: list[int], at: int, least: float = 0.9) -> li
             left -= 1
 
 
+def _own_keys(a: np.ndarray, b: np.ndarray, places: np.ndarray, reach: int, size: int = 4) -> list[tuple[int, int, int, int]]:
+    """``(key, cb, before, after)``: for the windows ``(ca, cb, before, after)`` of b each run of ``size`` shingles in them that is not near ``ca`` in a.
+
+    Keys are of the run and the common shingle.
+    """
+    theirs, own, out = _run_hashes(a, size), _run_hashes(b, size), set()
+    for ca, cb, before, after in places.tolist():
+        inside = own[max(0, cb - before) : max(0, cb + after - size + 2)]
+        new = inside[~np.isin(inside, theirs[max(0, ca - reach) : ca + reach])]
+        out.update((k, cb, before, after) for k in mix(new ^ b[cb]).view(np.int64).tolist())
+    return sorted(out)
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, passage: int, least: float, broadcast_rows: int) -> DataFrame:
-    """``a, b, a_from, a_to, b_from, b_to, similarity`` from ``a, b, windows`` and the texts of both.
+    """``row, a, b, a_from, a_to, b_from, b_to, similarity`` from ``a, b, windows`` and the texts of both.
 
-    Rows without a similarity are the equal runs of ``passage`` words or more around the windows of a pair with a passage.
+    ``row`` 0 is a passage; 1 an equal run of ``passage`` words or more around the windows of a pair with a passage; 2 a key of b's own
+    in a window whose group has more texts: ``b`` is the text, ``a`` the key and the others ``cb, before, after``.
     """
     ids = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     need = texts.join(_fits(stored(ids, "ids"), broadcast_rows), "node", "left_semi")
@@ -315,21 +329,30 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, passage: int, least:
             out = []
             left = s.document_words(batch.column(3), False)
             right = s.document_words(batch.column(4), False)
-            own, *places = s._flat(batch.column(2), ("ca", "cb"))
+            own, *places = s._flat(batch.column(2), ("ca", "cb", "before", "after", "more"))
             places, bounds = np.stack(places, axis=1), np.searchsorted(own, np.arange(batch.num_rows + 1))
             for row, ((_, x), (_, y)) in enumerate(zip(left, right)):
                 found = places[bounds[row] : bounds[row + 1]]
                 a, b = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
                 x, y = s.shingle_hashes(x, words), s.shingle_hashes(y, words)
+                more, found = found[found[:, 4] > 0, :4], np.unique(found[:, :2], axis=0)
                 shared = s.shared_passages(x, y, found, words, passage, least)
-                out += [(a, b, *p) for p in shared]
+                out += [(0, a, b, *p) for p in shared]
                 if shared:
-                    out += [(a, b, *p, None) for p in s.equal_runs(x, y, found, words, passage)]
-            names = ["a", "b", "a_from", "a_to", "b_from", "b_to", "similarity"]
-            columns = list(zip(*out)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.float64())], names)
+                    out += [(1, a, b, *p, None) for p in s.equal_runs(x, y, found, words, passage)]
+                out += [(2, key, b, *place, None, None) for key, *place in s._own_keys(x, y, more, passage)]
+                if len(out) >= 100_000:
+                    yield table(out)
+                    out = []
+            yield table(out)
+
+    names = ["row", "a", "b", "a_from", "a_to", "b_from", "b_to", "similarity"]
 
-    return both.mapInArrow(run, "a long, b long, a_from long, a_to long, b_from long, b_to long, similarity double")
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) if out else [[]] * 8
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(columns[7], pa.float64())], names)
+
+    return both.mapInArrow(run, "row long, a long, b long, a_from long, a_to long, b_from long, b_to long, similarity double")
 
 
 def _fits(df: DataFrame, rows: int) -> DataFrame:
@@ -338,18 +361,20 @@ def _fits(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _links(rows: DataFrame, words: int, passage: int) -> DataFrame:
-    """``a, b, ca, cb, before, after, function, met``: each place in a group of two texts or more next to the first place of its first (smallest) text.
+    """``a, b, ca, cb, before, after, function, met, more``: each place in a group of two texts or more next to the first place of its first (smallest) text.
 
     ``before`` and ``after`` are those of b. Further places of the first text itself have a = b. ``met`` tells whether the interval of places
-    that both windows cover on their diagonal can hold a passage.
+    that both windows cover on their diagonal can hold a passage, ``more`` is 1 if the group has more than two places.
     """
-    first = rows.groupBy("group").agg(F.min(F.struct("node", "c", "before", "after")).alias("first"), F.max("node").alias("most"))
+    first = rows.groupBy("group").agg(
+        F.min(F.struct("node", "c", "before", "after")).alias("first"), F.max("node").alias("most"), (F.count("*") > 2).cast("int").alias("more")
+    )
     # Stored: straight above its shuffle an aggregate keeps adaptive execution from cutting a hot group.
     first = stored(first.where("first.node < most").drop("most"), "firsts")
     joined = rows.join(first, "group").where("node > first.node or c > first.c")
     reach = F.least("before", "first.before") + F.least("after", "first.after") + words
     return joined.select(
-        F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.c").alias("ca"), F.col("c").alias("cb"), "before", "after", "function", (reach >= passage).alias("met")
+        F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.c").alias("ca"), F.col("c").alias("cb"), "before", "after", "function", (reach >= passage).alias("met"), "more"
     )
 
 
@@ -427,7 +452,9 @@ def passages(
     say so, and the texts are compared. A place is not done because its two texts are linked: all runs of ``passage`` words around
     the places of one function, those inside an equal run with a linked first text excepted, are then grouped by all their
     words. (Who shares an excepted run with the text shares it with that first text.) So equal passages of
-    ``passage`` words are never lost; near ones are found if one function's smallest
+    ``passage`` words are never lost. Near passages of two other members are looked for by what the first text lacks: every run of four
+    shingles in a member's window that the first text does not have around its place is grouped with the same run of
+    others around the same shingle, and these groups are linked through their own first texts; near ones are found if one function's smallest
     shingle has a quarter passage without a change on one side (measured in the README). A
     passage in a third of all documents costs one link a document; pairs of a group are never made.
 
@@ -470,20 +497,24 @@ def passages(
     for turn in range(2):
         joined = stored(_links(rest, words, passage), f"joined_{turn}")
         pairs = joined.where("met and a < b").groupBy("a", "b").agg(
-            F.collect_set(F.struct("ca", "cb")).alias("windows"), F.countDistinct("function").alias("agree")
+            F.collect_set(F.struct("ca", "cb", "before", "after", F.lit(0).alias("more") if turn else F.col("more"))).alias("windows"), F.countDistinct("function").alias("agree")
         )
         pairs = stored(pairs.where(F.col("agree") >= (1 if turn else agreeing)).select("a", "b", "windows"), f"pairs_{turn}")
         verified = stored(_verify(pairs, texts, words, passage, least, broadcast_rows), f"verified_{turn}")
-        links.append(verified.where("similarity is not null"))
+        links.append(verified.where("row = 0").drop("row"))
         if not turn:
             # One function is enough: its smallest shingle of an equal passage is a place of all texts that share it.
             left = joined.where("function = 0").select(F.col("b").alias("node"), F.col("cb").alias("c"), "before", "after").distinct()
             left = stored(left, "left")
-            if left.isEmpty():
+            # Passages that members share, but not with the first text, hold runs that it has not.
+            near = verified.where("row = 2").select(
+                F.col("b").alias("node"), F.col("a").alias("group"), *[F.col(x).cast("int").alias(y) for x, y in (("a_from", "c"), ("a_to", "before"), ("b_from", "after"))], F.lit(0).alias("function")
+            ).distinct()
+            if left.isEmpty() and near.isEmpty():
                 break
-            done = verified.where("similarity is null").select(F.col("b").alias("node"), "b_from", "b_to")
+            done = verified.where("row = 1").select(F.col("b").alias("node"), "b_from", "b_to")
             there = texts.join(_fits(stored(left.select("node").distinct(), "left_nodes"), broadcast_rows), "node", "left_semi")
-            whole = stored(_whole_keys(left, done, there, words, passage), "whole")
+            whole = stored(_whole_keys(left, done, there, words, passage).unionAll(near), "whole")
             shared = whole.groupBy("group").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("group")
             rest = whole.join(_fits(stored(shared, "whole_keys"), broadcast_rows), "group")
     out = links[0]
