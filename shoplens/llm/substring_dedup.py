@@ -125,7 +125,7 @@ def windows(docs: DataFrame, words: int, passage: int, hashes: int) -> DataFrame
         kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, data, offsets in s.text_slices(batch.column(1)):
+            for row, data, offsets in s.text_slices(batch.column(1), 1 << 20):
                 w = s.text_windows(data, offsets, words, passage, hashes)
                 for lo in range(0, len(w), 100_000):
                     part = w[lo : lo + 100_000]
@@ -305,7 +305,10 @@ def _own_keys(a: np.ndarray, b: np.ndarray, places: np.ndarray, reach: int, size
     """
     theirs, own, out = _run_hashes(a, size), _run_hashes(b, size), set()
     for ca, cb, before, after in places.tolist():
-        inside = own[max(0, cb - before) : max(0, cb + after - size + 2)]
+        lo, hi = max(0, cb - before), max(0, cb + after - size + 2)
+        inside = own[lo:hi]
+        if lo + ca >= cb and np.array_equal(inside, theirs[lo + ca - cb : hi + ca - cb]):
+            continue  # as nearly all windows of copies
         new = inside[~np.isin(inside, theirs[max(0, ca - reach) : ca + reach])]
         out.update((k, cb, before, after) for k in mix(new ^ b[cb]).view(np.int64).tolist())
     return sorted(out)
@@ -325,7 +328,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, passage: int, least:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from shoplens.llm import substring_dedup as s
 
-        for batch in batches:
+        for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):
             out = []
             left = s.document_words(batch.column(3), False)
             right = s.document_words(batch.column(4), False)
@@ -341,7 +344,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, passage: int, least:
                 if shared:
                     out += [(1, a, b, *p, None) for p in s.equal_runs(x, y, found, words, passage)]
                 out += [(2, key, b, *place, None, None) for key, *place in s._own_keys(x, y, more, passage)]
-                if len(out) >= 100_000:
+                if len(out) >= 20_000:
                     yield table(out)
                     out = []
             yield table(out)
