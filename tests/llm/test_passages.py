@@ -143,18 +143,20 @@ def test_a_link_does_not_hide_another_passage(spark):
 
 
 def test_the_first_text_does_not_hide_near_passages_of_others(spark):
-    """Triples a, b, c: a holds 35 words of a passage of 70; b and c hold it all, each with a word of its own changed, inserted or deleted."""
-    r, texts = random.Random(17), []
-    for i in range(60):
-        shared = prose(100 + i, 70, 20_000).split(" ")
-        at = r.randrange(36, 66)
+    """Triples a, b, c: a holds 48 words of a passage of 60; b and c hold it all, c with a word beyond changed, inserted or deleted."""
+    texts = []
+    for i in range(90):
+        shared, at = prose(100 + i, 60, 20_000).split(" "), 48 + i % 2
         other = [shared[:at] + ["changed"] + shared[at + 1 :], shared[:at] + ["changed"] + shared[at:], shared[:at] + shared[at + 1 :]][i % 3]
-        texts += [" ".join([prose(200 + i, 20, 20_000), *shared[:35], prose(300 + i, 60, 20_000)])]
+        texts += [" ".join([prose(200 + i, 20, 20_000), *shared[:48], prose(300 + i, 60, 20_000)])]
         texts += [" ".join([prose(400 + i, 15, 20_000), *shared, prose(500 + i, 25, 20_000)])]
         texts += [" ".join([prose(600 + i, 35, 20_000), *other, prose(700 + i, 30, 20_000)])]
     got = ends_of(s.passages(documents(spark, texts)).collect())
-    assert got <= {(3 * i + 2, 3 * i + 3) for i in range(60)}
-    assert len(got) >= 54, len(got)
+    # Texts 3i + 2 and 3i + 3, whose equal runs are shorter than a passage.
+    between = {3 * i + 2 for i in range(90)}
+    found = {a for a, b in got if a in between and b == a + 1}
+    print(len(found))
+    assert len(found) >= 81, len(found)
 
 
 def test_a_later_place_of_the_first_text_is_not_hidden(spark):
