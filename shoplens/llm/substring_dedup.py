@@ -35,24 +35,29 @@ def compact_windows(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -
     if not len(own):
         return np.zeros((0, 4), np.int64)
     lo, hi = lo[own].astype(np.int64), hi[own].astype(np.int64)
-    rows, step, longest = [np.arange(len(h), dtype=np.int32)], 1, int((hi - lo).max())
-    while 2 * step <= longest:  # rows for spans of 1, 2, 4 ... places
-        a, b = rows[-1][:-step], rows[-1][step:]
-        rows.append(np.where(h[b] < h[a], b, a))
-        step *= 2
+    n, longest = len(h), int((hi - lo).max())
+    level = np.frexp(np.arange(longest + 1, dtype=float))[1].astype(np.int64) - 1  # by a span's length
+    rows = np.empty((int(level[-1]) + 1, n), np.int32)
+    rows[0], smallest = np.arange(n, dtype=np.int32), h
+    for k in range(1, len(rows)):  # for spans of 2, 4, 8 ... places
+        step, there = 1 << (k - 1), n - (1 << k) + 1
+        a, b = smallest[:there], smallest[step : step + there]
+        rows[k, :there] = np.where(b < a, rows[k - 1, step : step + there], rows[k - 1, :there])
+        smallest = np.minimum(a, b)
+    # All levels in one table: a text of repeats makes a deep tree, whose many levels hold few nodes.
+    flat, begin = rows.ravel(), level * n
+    end = begin - (1 << np.maximum(level, 0))
     out = []
     while len(lo):
-        level = np.frexp((hi - lo).astype(float))[1] - 1
-        c = np.empty(len(lo), np.int64)
-        for k in np.unique(level):
-            at = level == k
-            a, b = rows[k][lo[at]], rows[k][hi[at] - (1 << int(k))]
-            c[at] = np.where(h[b] < h[a], b, a)
-        out.append(np.stack([own, lo, c, hi - 1], axis=1))
+        size = hi - lo
+        a, b = flat[begin[size] + lo], flat[end[size] + hi]
+        c = np.where(h[b] < h[a], b, a).astype(np.int64)
+        out.append((own, lo, c, hi))
         own, lo, hi = np.concatenate([own, own]), np.concatenate([lo, c + 1]), np.concatenate([c, hi])
-        wide = hi - lo >= width
+        wide = np.flatnonzero(hi - lo >= width)
         own, lo, hi = own[wide], lo[wide], hi[wide]
-    return np.concatenate(out)
+    own, lo, c, hi = (np.concatenate(x) for x in zip(*out))
+    return np.stack([own, lo, c, hi - 1], axis=1)
 
 
 def _run_hashes(s: np.ndarray, size: int) -> np.ndarray:
@@ -188,10 +193,10 @@ def _equal_length(a: np.ndarray, b: np.ndarray) -> int:
 
 
 @lru_cache
-def _far(reach: int) -> np.ndarray:
-    """Rank of each pair of steps: the longer of the two, then their difference."""
-    x, y = np.indices((reach, reach))
-    return np.maximum(x, y) * reach + np.abs(x - y)
+def _nearest(rows: int, columns: int) -> np.ndarray:
+    """All pairs of steps as flat places of a table, nearest first: by the longer of the two, then their difference."""
+    x, y = np.indices((rows, columns))
+    return np.argsort((np.maximum(x, y) * max(rows, columns) + np.abs(x - y)).ravel(), kind="stable")
 
 
 def _next_run(a: np.ndarray, b: np.ndarray, reach: int) -> tuple[int, int, int] | None:
@@ -199,10 +204,12 @@ def _next_run(a: np.ndarray, b: np.ndarray, reach: int) -> tuple[int, int, int]
     if not len(a) or not len(b):
         return None
     same = a[:reach, None] == b[None, :reach]
-    far = np.where(same, _far(reach)[: same.shape[0], : same.shape[1]], reach * reach)
-    x, y = divmod(int(far.argmin()), same.shape[1])
-    if far[x, y] == reach * reach:
+    order = _nearest(*same.shape)
+    same = same.ravel()[order]
+    first = int(same.argmax())
+    if not same[first]:
         return None
+    x, y = divmod(int(order[first]), min(len(b), reach))
     n = _equal_length(a[x:], b[y:])
     return x + n, y + n, n
 
@@ -298,20 +305,49 @@ def _grow(starts: list[int], ends: list[int], at: int, least: float = 0.9) -> li
             left -= 1
 
 
-def _own_keys(a: np.ndarray, b: np.ndarray, places: np.ndarray, reach: int, size: int = 4) -> list[tuple[int, int, int, int]]:
-    """``(key, cb, before, after)``: for the windows ``(ca, cb, before, after)`` of b each run of ``size`` shingles in them that is not near ``ca`` in a.
+def _own_keys(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], reach: int, size: int = 4) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(pair, key, cb, before, after)``, an array each: for the windows ``(ca, cb, before, after)`` of b each run of ``size`` shingles in them that is not near ``ca`` in a.
 
-    Keys are of the run and the common shingle.
+    ``pairs`` has the shingles of a and b and the windows. Keys are of the run and the common shingle. All pairs are looked up at once,
+    a bounded number of windows at a time; only rows of one such part are sure to differ.
     """
-    theirs, own, out = _run_hashes(a, size), _run_hashes(b, size), set()
-    for ca, cb, before, after in places.tolist():
-        lo, hi = max(0, cb - before), max(0, cb + after - size + 2)
-        inside = own[lo:hi]
-        if lo + ca >= cb and np.array_equal(inside, theirs[lo + ca - cb : hi + ca - cb]):
-            continue  # as nearly all windows of copies
-        new = inside[~np.isin(inside, theirs[max(0, ca - reach) : ca + reach])]
-        out.update((k, cb, before, after) for k in mix(new ^ b[cb]).view(np.int64).tolist())
-    return sorted(out)
+    xs, ys, places = zip(*pairs)
+    pair = np.repeat(np.arange(len(pairs)), [len(p) for p in places])
+    windows = np.concatenate(places)
+    x_size, y_size = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+    x_first, y_first = np.cumsum(x_size) - x_size, np.cumsum(y_size) - y_size
+    x_runs, y_runs = np.maximum(x_size - size + 1, 0), np.maximum(y_size - size + 1, 0)
+    b = np.concatenate(ys)
+    theirs, own = np.append(_run_hashes(np.concatenate(xs), size), np.uint64(0)), _run_hashes(b, size)
+    values, rank = np.unique(theirs, return_inverse=True)
+    n = len(theirs) + 1
+    sorted_places = np.sort(rank * n + np.arange(len(theirs)))
+    for at in range(0, len(windows), 4_000):
+        p, (ca, cb, before, after) = pair[at : at + 4_000], windows[at : at + 4_000].T
+        near, to = x_first[p] + np.minimum(np.maximum(ca - reach, 0), x_runs[p]), x_first[p] + np.minimum(ca + reach, x_runs[p])
+        lo, hi = np.maximum(cb - before, 0), np.minimum(cb + after - size + 2, y_runs[p])
+        count = np.maximum(hi - lo, 0)
+        w = np.repeat(np.arange(len(p)), count)
+        i = np.arange(len(w)) + np.repeat(y_first[p] + lo - np.cumsum(count) + count, count)
+        # Most runs of near copies stand on the window's diagonal; only others are looked for.
+        across = i + (x_first[p] + ca - y_first[p] - cb)[w]
+        there = (across >= near[w]) & (across < to[w])
+        other = ~(there & (theirs[np.where(there, across, 0)] == own[i]))
+        w, i = w[other], i[other]
+        value = np.minimum(np.searchsorted(values, own[i]), len(values) - 1)
+        k = np.searchsorted(sorted_places, value * n + near[w])
+        met = (values[value] == own[i]) & (k < len(theirs))
+        met &= sorted_places[np.where(met, k, 0)] < value * n + to[w]
+        w, i = w[~met], i[~met]
+        if not len(w):
+            continue
+        key = mix(own[i] ^ b[(y_first[p] + cb)[w]]).view(np.int64)
+        window = np.unique(np.stack([p, cb, before, after], axis=1), axis=0, return_inverse=True)[1].ravel()[w]
+        order = np.lexsort((key, window))
+        first = np.ones(len(order), bool)
+        first[1:] = (key[order[1:]] != key[order[:-1]]) | (window[order[1:]] != window[order[:-1]])
+        w, key = w[order[first]], key[order[first]]
+        yield p[w], key, cb[w], before[w], after[w]
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, passage: int, least: float, broadcast_rows: int) -> DataFrame:
@@ -329,7 +365,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, passage: int, least:
         from shoplens.llm import substring_dedup as s
 
         for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):
-            out = []
+            out, wanted, size = [], [], 0
             left = s.document_words(batch.column(3), False)
             right = s.document_words(batch.column(4), False)
             own, *places = s._flat(batch.column(2), ("ca", "cb", "before", "after", "more"))
@@ -338,16 +374,33 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, passage: int, least:
                 found = places[bounds[row] : bounds[row + 1]]
                 a, b = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
                 x, y = s.shingle_hashes(x, words), s.shingle_hashes(y, words)
-                more, found = found[found[:, 4] > 0, :4], np.unique(found[:, :2], axis=0)
+                more, both_places = found[found[:, 4] > 0, :4], np.unique(found[:, 0] << 32 | found[:, 1])
+                found = np.stack([both_places >> 32, both_places & 0xFFFFFFFF], axis=1)
                 shared = s.shared_passages(x, y, found, words, passage, least)
                 out += [(0, a, b, *p) for p in shared]
                 if shared:
                     out += [(1, a, b, *p, None) for p in s.equal_runs(x, y, found, words, passage)]
-                out += [(2, key, b, *place, None, None) for key, *place in s._own_keys(x, y, more, passage)]
+                if len(more):
+                    wanted.append((b, x, y, more))
+                    size += len(x) + len(y)
+                if size >= 50_000:
+                    yield from keys(wanted)
+                    wanted, size = [], 0
                 if len(out) >= 20_000:
                     yield table(out)
                     out = []
             yield table(out)
+            yield from keys(wanted)
+
+    def keys(wanted: list[tuple]) -> Iterator[pa.RecordBatch]:
+        from shoplens.llm import substring_dedup as s
+
+        texts = np.array([b for b, *_ in wanted], np.int64)
+        for pair, *columns in s._own_keys([w[1:] for w in wanted], passage) if wanted else ():
+            for lo in range(0, len(pair), 50_000):
+                key, *place = [pa.array(c[lo : lo + 50_000], pa.int64()) for c in columns]
+                kind, b = pa.array(np.full(len(key), 2)), pa.array(texts[pair[lo : lo + 50_000]])
+                yield pa.RecordBatch.from_arrays([kind, key, b, *place, pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.float64())], names)
 
     names = ["row", "a", "b", "a_from", "a_to", "b_from", "b_to", "similarity"]
 
@@ -502,22 +555,23 @@ def passages(
         pairs = joined.where("met and a < b").groupBy("a", "b").agg(
             F.collect_set(F.struct("ca", "cb", "before", "after", F.lit(0).alias("more") if turn else F.col("more"))).alias("windows"), F.countDistinct("function").alias("agree")
         )
-        pairs = stored(pairs.where(F.col("agree") >= (1 if turn else agreeing)).select("a", "b", "windows"), f"pairs_{turn}")
+        pairs = stored(pairs.where(F.col("agree") >= (1 if turn else agreeing)).select("a", "b", "windows"), f"both_places{turn}")
         verified = stored(_verify(pairs, texts, words, passage, least, broadcast_rows), f"verified_{turn}")
         links.append(verified.where("row = 0").drop("row"))
         if not turn:
             # One function is enough: its smallest shingle of an equal passage is a place of all texts that share it.
             left = joined.where("function = 0").select(F.col("b").alias("node"), F.col("cb").alias("c"), "before", "after").distinct()
             left = stored(left, "left")
-            # Passages that members share, but not with the first text, hold runs that it has not.
+            # Passages that members share, but not with the first text, hold runs that it has not. Equal rows (of windows in two
+            # groups, or of two first texts) add nothing: what follows gathers least and greatest texts and sets.
             near = verified.where("row = 2").select(
                 F.col("b").alias("node"), F.col("a").alias("group"), *[F.col(x).cast("int").alias(y) for x, y in (("a_from", "c"), ("a_to", "before"), ("b_from", "after"))], F.lit(0).alias("function")
-            ).distinct()
+            )
             if left.isEmpty() and near.isEmpty():
                 break
             done = verified.where("row = 1").select(F.col("b").alias("node"), "b_from", "b_to")
             there = texts.join(_fits(stored(left.select("node").distinct(), "left_nodes"), broadcast_rows), "node", "left_semi")
-            whole = stored(_whole_keys(left, done, there, words, passage).unionAll(near), "whole")
+            whole = stored(_whole_keys(left, done, there, words, passage), "whole").select(*near.columns).unionAll(near)
             shared = whole.groupBy("group").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("group")
             rest = whole.join(_fits(stored(shared, "whole_keys"), broadcast_rows), "group")
     out = links[0]

@@ -181,6 +181,33 @@ def shared(x, y, places, least=0.8):
     return [p[:4] for p in found]
 
 
+def plain_own_keys(a, b, places, reach, size=4):
+    theirs, own, out = list(s._run_hashes(a, size)), list(s._run_hashes(b, size)), set()
+    for ca, cb, before, after in places:
+        near = set(theirs[max(0, ca - reach) : ca + reach])
+        for run in own[max(0, cb - before) : max(0, cb + after - size + 2)]:
+            if run not in near:
+                out.add((int(s.mix(np.array([run ^ b[cb]])).view(np.int64)[0]), cb, before, after))
+    return out
+
+
+def test_runs_that_the_first_text_lacks_for_many_pairs_at_once():
+    r = np.random.default_rng(8)
+    pairs = [(np.zeros(0, np.uint64), np.arange(9, dtype=np.uint64), np.zeros((0, 4), np.int64)), (np.arange(2, dtype=np.uint64), np.arange(9, dtype=np.uint64), np.array([(1, 4, 4, 4), (0, 8, 8, 0)]))]
+    for n in (1, 3, 4, 30, 200, 200):
+        x = r.integers(1, 40, n).astype(np.uint64)
+        y = np.concatenate([r.integers(1, 40, 6).astype(np.uint64), x])
+        y[r.integers(0, len(y), 1 + n // 15)] = 77
+        m = len(y)
+        pairs.append((x, y, np.array([(r.integers(0, n), c, r.integers(0, min(c, 12) + 1), r.integers(0, min(m - 1 - c, 12) + 1)) for c in r.integers(0, m, 2 * n)])))
+    got = collections.defaultdict(list)
+    for columns in s._own_keys(pairs, 12):
+        for pair, *row in zip(*(c.tolist() for c in columns)):
+            got[pair].append(tuple(row))
+    for i, (x, y, places) in enumerate(pairs):
+        assert len(set(got[i])) == len(got[i]) and set(got[i]) == plain_own_keys(x, y, places.tolist(), 12), i
+
+
 def test_an_equal_run_survives_a_grown_span_that_is_unlike():
     """Repeated sentences: nine in ten places are equal, yet the sets of the grown span are not similar enough."""
     refrain, tail = [f"r{i}" for i in range(10)] * 6, [f"t{i}" for i in range(10)]
