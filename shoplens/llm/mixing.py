@@ -12,32 +12,39 @@ def _permuted(df: DataFrame, x: str, n: str, out: str, *seed: Column | str, roun
     """Add ``out``, the image of ``x`` in 0..n-1 under a pseudorandom permutation of that range given by ``seed``.
 
     A Feistel network on a grid just over n, walked until it falls inside the range. The grid has fewer than sqrt(n)+1
-    points beyond n, so the walk ends; three steps are written out, the rare rest loops.
+    points beyond n, so the walk ends. Its first step is plain columns, a round each, which Spark compiles; the rare rest loops.
     """
     n_ = F.col(n)
-    a = F.ceil(F.sqrt(n_.cast("double"))).cast("long")
-    b = F.ceil(n_ / a).cast("long")
-    df = df.withColumn("_a", a).withColumn("_b", b)
+    df = df.withColumn("_a", F.ceil(F.sqrt(n_.cast("double"))).cast("long"))
+    df = df.withColumn("_b", F.ceil(n_ / F.col("_a")).cast("long"))
     seed = [F.col(s) if isinstance(s, str) else s for s in seed]
 
-    def step(at: Column, left_size: Column, right_size: Column) -> Column:
-        pair = F.struct((at % left_size).alias("l"), F.floor(at / left_size).cast("long").alias("r"))
+    def halves(at: Column) -> tuple[Column, Column]:
+        return at % F.col("_a"), F.floor(at / F.col("_a")).cast("long")
+
+    def turned(own: Column, other: Column, size: str) -> Column:
+        """One half after a round; all rounds hash alike."""
+        return (own + F.pmod(F.xxhash64(F.lit(0), other, *seed), F.col(size))) % F.col(size)
+
+    def step(at: Column) -> Column:
+        bind = lambda f, v: F.element_at(F.transform(F.array(v), f), 1)  # noqa: E731  evaluates v once
+        left, right = halves(at)
+        pair = F.struct(left.alias("l"), right.alias("r"))
         for i in range(rounds):
-            bind = lambda f, v: F.element_at(F.transform(F.array(v), f), 1)  # noqa: E731  evaluates v once
             if i % 2 == 0:
-                f = lambda p, i=i: F.struct(((p["l"] + F.pmod(F.xxhash64(F.lit(i), p["r"], *seed), left_size)) % left_size).alias("l"), p["r"].alias("r"))
+                f = lambda p: F.struct(turned(p["l"], p["r"], "_a").alias("l"), p["r"].alias("r"))
             else:
-                f = lambda p, i=i: F.struct(p["l"].alias("l"), ((p["r"] + F.pmod(F.xxhash64(F.lit(i), p["l"], *seed), right_size)) % right_size).alias("r"))
+                f = lambda p: F.struct(p["l"].alias("l"), turned(p["r"], p["l"], "_b").alias("r"))
             pair = bind(f, pair)
-        return F.element_at(F.transform(F.array(pair), lambda p: p["l"] + p["r"] * left_size), 1)
-
-    df = df.withColumn(out, step(F.col(x), F.col("_a"), F.col("_b")))
-    for _ in range(2):
-        df = df.withColumn(out, F.when(F.col(out) < n_, F.col(out)).otherwise(step(F.col(out), F.col("_a"), F.col("_b"))))
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.lit(200)), F.col(out),
-        lambda at, _: F.when(at < n_, at).otherwise(step(at, F.col("_a"), F.col("_b"))),
-    )
+        return bind(lambda p: p["l"] + p["r"] * F.col("_a"), pair)
+
+    left, right = halves(F.col(x))
+    df = df.withColumns({"_l": left, "_r": right})
+    for i in range(rounds):
+        own, other, size = ("_l", "_r", "_a") if i % 2 == 0 else ("_r", "_l", "_b")
+        df = df.withColumn(own, turned(F.col(own), F.col(other), size))
+    df = df.withColumn(out, F.col("_l") + F.col("_r") * F.col("_a")).drop("_l", "_r")
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(202)), F.col(out), lambda at, _: F.when(at < n_, at).otherwise(step(at)))
     return df.withColumn(out, F.when(F.col(out) < n_, F.col(out)).otherwise(walk)).drop("_a", "_b")
 
 

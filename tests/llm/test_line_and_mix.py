@@ -84,6 +84,13 @@ def test_permutation(spark):
     assert out != sorted(out)
 
 
+def test_plan_of_the_draw_stays_small(spark):
+    """Planning takes the driver's memory: 153,000 characters before, in four written steps of nested lambdas a permutation."""
+    rows = [(i, prose(i, 300), "ab"[i % 2]) for i in range(9)]
+    _, slots = mixing.mix(frame(spark, rows, "doc_id long, text string, source string"), block=4)
+    assert len(slots._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+
+
 def test_mix(spark):
     rows = [(i, prose(i, 5 + (i * 37) % 400), ("a", "b", None, "c")[min(3, i % 9)], "k", 1, "r", "z") for i in range(200)]
     rows += [(900, None, "a", "k", 1, "r", "z"), (901, "", "d", "k", 1, "r", "z"), (902, prose(5, 50), "b", "k", 1, "r", "z"), (902, prose(5, 50), "b", "k", 1, "r", "z"), (None, prose(6, 60), "c", None, None, None, None)]
